@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe
-from loadspan.llm.tables import parquet
+from loadspan.llm import bpe, packing, tokenfile
+from loadspan.llm.tables import new_path, parquet
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe,)}
+def op5_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenfile.write_token_file(parquet(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.documents(spark, path)
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(parquet(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_repair_files, op9_best_fit)}
 ORACLE: dict[str, str] = {}
