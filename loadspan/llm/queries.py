@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe, packing, tokenfile
+from loadspan.llm import bpe, packing, quality, tokenfile
 from loadspan.llm.tables import new_path, parquet
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(parquet(spark, sf_dir, "documents").select("doc_id", "text"))
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *stats, "base_failed", "kept", "p_good")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -33,5 +39,5 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_repair_files, op9_best_fit)}
+QUERIES = {f.__name__: f for f in (op3_weak_supervision, op4_byte_bpe, op5_repair_files, op9_best_fit)}
 ORACLE: dict[str, str] = {}
