@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe, packing, quality, tokenfile
+from loadspan.llm import bpe, licences, packing, quality, tokenfile, toxicity
 from loadspan.llm.tables import new_path, parquet
 
 
@@ -19,7 +19,7 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -34,10 +34,33 @@ def op5_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents(spark, path)
 
 
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, parquet(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(parquet(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", "notices.label")))
+    score = F.greatest(F.coalesce(F.array_max("notices.score"), F.lit(0.0)), F.when(F.size("base_labels") > 0, 0.5).otherwise(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_starts").cast("long").alias("n_base"),
+        F.array_min("base_starts").alias("first_word"),
+        F.array_max("base_starts").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        F.least(score, F.lit(1.0)).alias("score"),
+    )
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.packed(parquet(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_weak_supervision, op4_byte_bpe, op5_repair_files, op9_best_fit)}
+QUERIES = {f.__name__: f for f in (op3_weak_supervision, op4_byte_bpe, op5_repair_files, op7_crf_toxicity, op8_license_scan, op9_best_fit)}
 ORACLE: dict[str, str] = {}
