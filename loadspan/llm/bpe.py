@@ -20,18 +20,38 @@ import regex
 from pyspark.sql import DataFrame
 
 from loadspan.llm.chunks import ChunkEncoder, ragged, slices
+from loadspan.llm.tables import small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Positions that one array of trees may hold.
-TREE_CELLS = 1 << 21
+TREE_CELLS = 1 << 19
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
+class TokenBytes:
+    """What each id of a rank file stands for."""
+
+    def __init__(self, ranks_path: str):
+        tokens = sorted((r, w) for w, r in read_ranks(ranks_path).items())
+        self.sizes = np.zeros(tokens[-1][0] + 1, np.int64)
+        self.sizes[[r for r, _ in tokens]] = [len(w) for _, w in tokens]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(w for _, w in tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after another."""
+        return ragged(self.flat, self.starts[ids], self.sizes[ids])
 
 
 class BytePairs:
     """The merges of a rank file in tiktoken's format."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        with open(ranks_path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+        self.ranks = read_ranks(ranks_path)
         self.pattern = regex.compile(pattern)
         self.bytes_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.base = max(self.ranks.values()) + 1
@@ -43,11 +63,6 @@ class BytePairs:
         }
         self.pairs = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[x] for x in self.pairs.tolist()], np.int32)
-        tokens = sorted((r, w) for w, r in self.ranks.items())
-        sizes = np.zeros(self.base, np.int64)
-        sizes[[r for r, _ in tokens]] = [len(w) for _, w in tokens]
-        self.token_sizes, self.token_starts = sizes, np.cumsum(sizes) - sizes
-        self.token_bytes = np.frombuffer(b"".join(w for _, w in tokens), np.uint8)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, which is also the id that it merges to; NONE if there is none."""
@@ -132,15 +147,15 @@ class BytePairs:
             for pieces in split
         ]
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, one after another."""
-        return ragged(self.token_bytes, self.token_starts[ids], self.token_sizes[ids])
+
+@lru_cache(maxsize=4)
+def _coder(ranks_path: str, pattern: str) -> ChunkEncoder:
+    return ChunkEncoder(BytePairs(ranks_path, pattern).encode)
 
 
 @lru_cache(maxsize=4)
-def _pairs(ranks_path: str, pattern: str) -> tuple[BytePairs, ChunkEncoder]:
-    pairs = BytePairs(ranks_path, pattern)
-    return pairs, ChunkEncoder(pairs.encode)
+def _tokens(ranks_path: str) -> TokenBytes:
+    return TokenBytes(ranks_path)
 
 
 def _listed(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -155,29 +170,31 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _pairs(ranks_path, pattern)[1]
+        coder = _coder(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, offsets = coder(part.column("text"))
                 yield pa.record_batch([part.column("key"), _listed(ids, offsets)], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
+    small_batches(df.sparkSession)
     return df.select(df[key].alias("key"), df[text].cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """df with a column bytes (binary): what its ids stand for; null ids have no bytes. Ids outside the ranks are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _pairs(ranks_path, pattern)[0]
+        tokens = _tokens(ranks_path)
         for batch in batches:
             lists = pa.compute.fill_null(batch.column(ids), []) if batch.column(ids).null_count else batch.column(ids)
             flat, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets, dtype=np.int64)
             offsets = offsets - offsets[0]
-            data = pairs.decode(flat)
-            ends = np.concatenate([[0], np.cumsum(pairs.token_sizes[flat])])[offsets]
+            data = tokens.decode(flat)
+            ends = np.concatenate([[0], np.cumsum(tokens.sizes[flat])])[offsets]
             made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
             yield pa.record_batch([*batch.columns, made.cast(pa.binary())], names=[*batch.schema.names, "bytes"])
 
+    small_batches(df.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, bytes binary")

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-BATCH_BYTES = 8 << 20
-CACHE_CHUNKS = 700_000
+BATCH_BYTES = 3 << 20
+CACHE_CHUNKS = 250_000
 CACHE_CHARS = 64
 
 _SPACE = np.zeros(256, bool)

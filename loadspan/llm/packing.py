@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadspan.llm.chunks import slices
-from loadspan.llm.tables import written
+from loadspan.llm.tables import small_batches, written
 from loadspan.llm.wordpieces import chunk_encoder
 
 GROUP_PIECES = 16_384
@@ -59,6 +59,7 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, key:
                     names.append("ids")
                 yield pa.record_batch(columns, names=names)
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("key"), F.xxhash64(df[key], df[text]).alias("row_hash"), df[text].cast("string").alias("text"))
     schema = f"`{key}` {kind}, row_hash long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids

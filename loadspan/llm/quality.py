@@ -22,7 +22,8 @@ SYMBOLS = "#*$%&|<>"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -37,22 +38,25 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     base = base.withColumns({
         "n_words": F.size("_w").cast("long"),
         "_n_chars": F.length("_t").cast("long"),
-        "word_chars": F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long"),
         "_n_upper": (F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}+", ""))).cast("long"),
         "_n_letters": F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).cast("long"),
         "_n_marked": F.regexp_count("_t", F.lit(r"[#*$%&|<>]+")).cast("long"),
-        "_n_shouted": F.regexp_count("_t", F.lit(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})")).cast("long"),
+        "_n_shouted": F.regexp_count("_t", F.lit(r"\p{Lu}{2,}")).cast("long"),
         "_n_exclaimed": F.regexp_count("_t", F.lit("!!+")).cast("long"),
         "_lines": lines,
         "_n_distinct": F.size(F.array_distinct("_w")).cast("long"),
     })
     window = lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(5)])
-    spots = F.when(F.col("n_words") >= 6, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), lambda i: F.struct(window(i).alias("h"), i.alias("i"))))
-    base = base.withColumn("_s", F.array_sort(spots))
+    windows = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), window)
+    base = base.withColumn("_h", F.when(F.col("n_words") >= 6, windows))
+    # most texts have no window twice, which is cheap to tell; only the others' windows are sorted
+    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
+    base = base.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda i, j: F.get("_s", i)["h"] == F.get("_s", j)["h"]
     again = F.filter("_s", lambda s, i: F.coalesce(same(i, i + 1), F.lit(False)) | ((i > 0) & F.coalesce(same(i, F.greatest(i - 1, F.lit(0))), F.lit(False))))
-    base = base.withColumn("_r", F.coalesce(F.array_sort(F.transform(again, lambda s: s["i"])), F.array().cast("array<int>")))
+    base = base.withColumn("_r", F.coalesce(F.sort_array(F.transform(again, lambda s: s["i"])), F.array().cast("array<int>")))
     covered = F.aggregate(
         F.transform("_r", lambda x, i: F.least(F.lit(5), F.coalesce(F.get("_r", i + 1) - x, F.lit(5)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
@@ -60,7 +64,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered,
-    }).drop("_t", "_w", "_lines", "_s", "_r")
+    }).drop("_t", "_w", "_lines", "_h", "_s", "_r")
 
 
 def base_failed() -> Column:
@@ -133,14 +137,19 @@ def posterior(pattern: tuple, prior: float, rates: list[tuple[float, float]]) ->
 
 
 def judged(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """df's columns with the statistics, base_failed, p_good and kept.
+    """df's columns with the statistics, base_failed, p_good and kept: with_statistics(), then judge()."""
+    return judge(with_statistics(df, text), threshold)
+
+
+def judge(statistics: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """with_statistics' rows with base_failed, p_good and kept.
 
     kept is false where base_failed, else p_good >= threshold. Rows in equal words are judged alike; an empty table
-    stays empty. Statistics are written to the shared folder once and read for both passes.
+    stays empty. The rows are written to the shared folder once and read for both passes.
     """
     rules = votes()
     names = list(rules)
-    stats = written(with_statistics(df, text).withColumns({f"_v_{k}": v.cast("int") for k, v in rules.items()}), "quality")
+    stats = written(statistics.withColumns({f"_v_{k}": v.cast("int") for k, v in rules.items()}), "quality")
     seen = stats.groupBy([F.col(f"_v_{k}").alias(k) for k in names]).agg(F.count(F.lit(1)).alias("n")).collect()
     prior, rates = expectation_maximisation([(tuple(r[k] for k in names), r["n"]) for r in seen])
     odds = F.lit(math.log(prior / (1 - prior)))

@@ -11,7 +11,7 @@ from loadspan.llm.tables import new_path, parquet
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(parquet(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = quality.judge(quality.with_statistics(parquet(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return found.select("doc_id", *stats, "base_failed", "kept", "p_good")
 

@@ -42,3 +42,10 @@ def partitions(spark: SparkSession) -> int:
 def text_of(df: DataFrame, column: str = "text"):
     """The text column with nulls as empty texts."""
     return F.coalesce(df[column], F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: so many rows at most from now on in this session, so that one stays a few MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadspan.llm.chunks import ragged, slices
+from loadspan.llm.tables import small_batches
 from loadspan.llm.wordpieces import chunk_encoder
 
 BLOCK_IDS = 1 << 20
@@ -101,6 +102,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer_path: str, end_id: int,
     Other columns play no part. base is the tokenizer's number of ids. An empty table gives a file without blocks.
     """
     spark = df.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, number = chunk_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
