@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe, licences, packing, quality, tokenfile, toxicity
+from loadspan.llm import bpe, licences, packing, quality, simhash, tokenfile, toxicity
 from loadspan.llm.tables import new_path, parquet
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(parquet(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(quality.with_statistics(parquet(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -62,5 +67,5 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_weak_supervision, op4_byte_bpe, op5_repair_files, op7_crf_toxicity, op8_license_scan, op9_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op7_crf_toxicity, op8_license_scan, op9_best_fit)}
 ORACLE: dict[str, str] = {}
