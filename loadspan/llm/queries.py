@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe, licences, packing, quality, simhash, tokenfile, toxicity
+from loadspan.llm import bpe, licences, packing, quality, simhash, tokenfile, toxicity, vectors
 from loadspan.llm.tables import new_path, parquet
 
 
@@ -67,5 +67,9 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op7_crf_toxicity, op8_license_scan, op9_best_fit)}
+def op10_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(parquet(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op7_crf_toxicity, op8_license_scan, op9_best_fit, op10_spherical_kmeans)}
 ORACLE: dict[str, str] = {}
