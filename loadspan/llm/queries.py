@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe, licences, packing, quality, simhash, tokenfile, toxicity, vectors
+from loadspan.llm import bpe, extraction, licences, packing, quality, simhash, tokenfile, toxicity, vectors
 from loadspan.llm.tables import new_path, parquet
 
 
@@ -39,6 +39,11 @@ def op5_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents(spark, path)
 
 
+def op6_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extracted(parquet(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, parquet(spark, sf_dir, "labels"))
@@ -71,5 +76,5 @@ def op10_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(parquet(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op7_crf_toxicity, op8_license_scan, op9_best_fit, op10_spherical_kmeans)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op6_tree_model, op7_crf_toxicity, op8_license_scan, op9_best_fit, op10_spherical_kmeans)}
 ORACLE: dict[str, str] = {}
