@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 # Element names by the part they play in HTML.
+PARTS = {"article", "aside", "footer", "form", "header", "main", "nav"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "textarea", "select", "button"}
 BLOCK = {
@@ -117,16 +118,20 @@ class Page(HTMLParser):
 
 
 def features(page: Page) -> list[list[str]]:
-    """What is known of each element: its tag, names, share of links, length of text, and its parent's tag."""
+    """What is known of each element: its tag, names, share of links, length of text, and the part of the page it is in."""
     n = len(page.tag)
     chars, linked = page.chars[:], page.linked[:]
     for i in range(n - 1, 0, -1):
         chars[page.parent[i]] += chars[i]
         linked[page.parent[i]] += linked[i]
+    within = ["none"] * n
+    for i in range(1, n):
+        over = page.tag[page.parent[i]]
+        within[i] = over if over in PARTS else within[page.parent[i]]
     out = []
     for i in range(n):
         share = linked[i] / chars[i] if chars[i] else 0.0
         size = 0 if not chars[i] else 1 if chars[i] < 25 else 2 if chars[i] < 100 else 3 if chars[i] < 400 else 4
         tag = page.tag[i] if page.tag[i] in BLOCK or page.tag[i] in SILENT else "inline"
-        out.append(["bias", f"tag={tag}", f"links={0 if share < 0.2 else 1 if share < 0.6 else 2}", f"size={size}", *(f"name={k}" for k in page.names[i])])
+        out.append(["bias", f"tag={tag}", f"links={0 if share < 0.2 else 1 if share < 0.6 else 2}", f"size={size}", f"within={within[i]}", *(f"name={k}" for k in page.names[i])])
     return out

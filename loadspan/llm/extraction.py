@@ -47,12 +47,13 @@ def labelled_pages() -> list[list[tuple[str, int]]]:
     bodies = [
         f"<h1>{_prose(5)}</h1><p>{_prose(60)}</p><p>{_prose(12, 2)}</p>", f"<h1>{_prose(3)}</h1><p><b>{_prose(8)}<br><p>{_prose(90, 5)}</p><p>{_prose(3)}</p>", f"<h1>{_prose(4)}</h1><p>{_prose(40)}</p><h2>{_prose(2)}</h2><ul><li>{_prose(6)}</li><li>{_prose(9)}</li></ul>",
         f"<p>{_prose(25)}</p><blockquote><p>{_prose(15, 4)}</p></blockquote><div>{_prose(30)}</div>", f"<h2>{_prose(4)}</h2><table><tr><td>{_prose(2)}</td><td>{_prose(3)}</td></tr></table><p>{_prose(35)}</p><p>{_prose(1)}</p>", f"<h1>{_prose(2)}</h1><p>{_prose(2)}</p><figure><figcaption>{_prose(6)}</figcaption></figure>",
+        f"<h1>{_prose(8)}</h1>" + f"<p>{_prose(2)}</p><p><b>{_prose(1)}<br>" * 25,
     ]
     frames = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post-body">', "</div>"), ('<section class="story">', "</section>"), ("<main><article>", "</article></main>"), ('<div class="article-text"><div>', "</div></div>")]
     head = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>1</script></head><body>"
     pages = []
-    for i in range(168):
-        (a, b), body = frames[i % len(frames)], bodies[i % len(bodies)]
+    for i in range(196):
+        (a, b), body = frames[i % len(frames)], bodies[(i + i // 7) % len(bodies)]
         before = head + menus[i % len(menus)] + extras[i % len(extras)] * (i % 3 > 0)
         after = extras[(i // 3 + 3) % len(extras)] * (i % 2) + ends[(i // 2) % len(ends)] + "</body></html>" * (i % 5 > 0)
         inside = extras[(i // 5) % len(extras)] * (i % 4 == 3)
