@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadspan.llm import bpe, extraction, licences, packing, quality, simhash, tokenfile, toxicity, vectors
+from loadspan.llm import bpe, extraction, licences, lines, packing, quality, simhash, tokenfile, toxicity, vectors
 from loadspan.llm.tables import new_path, parquet
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op2_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(parquet(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(quality.with_statistics(parquet(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -76,5 +80,5 @@ def op10_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(parquet(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op6_tree_model, op7_crf_toxicity, op8_license_scan, op9_best_fit, op10_spherical_kmeans)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash_lines, op3_weak_supervision, op4_byte_bpe, op5_repair_files, op6_tree_model, op7_crf_toxicity, op8_license_scan, op9_best_fit, op10_spherical_kmeans)}
 ORACLE: dict[str, str] = {}
