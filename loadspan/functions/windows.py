@@ -37,7 +37,9 @@ def rolling_median_std(df: DataFrame, value: str = "power", width: int = 50, **b
     """roll_median and roll_std (sample deviation, 0 where there is one row) over a centred frame of width rows."""
     after = (width - 1) // 2
     frame = ordered(**by).rowsBetween(after - width + 1, after)
-    return df.withColumns({"roll_median": F.median(value).over(frame), "roll_std": F.coalesce(F.stddev_samp(value).over(frame), F.lit(0.0))})
+    held = df.withColumns({"_f": F.sort_array(F.collect_list(value).over(frame)), "roll_std": F.coalesce(F.stddev_samp(value).over(frame), F.lit(0.0))})
+    middle = lambda up: F.get("_f", F.floor((F.size("_f") - 1 + up) / 2).cast("int"))
+    return held.withColumn("roll_median", (middle(0) + middle(1)) / 2).drop("_f")
 
 
 def median_filter5(df: DataFrame, value: str = "power", **by) -> DataFrame:

@@ -45,7 +45,7 @@ def interval_points(df: DataFrame, threshold: float, t_drop: float, t_min: float
     spans = spans.where(F.col("end_t") - F.col("start_t") >= t_min).join(last, "series_id")
     number = F.row_number().over(Window.partitionBy("series_id").orderBy("start_t")) - 1
     first, stop = F.greatest(F.col("a") - context, F.lit(0)), F.least(F.col("b") + context, F.col("_last"))
-    wanted = spans.select("series_id", number.alias("activity_id"), F.posexplode(F.sequence(first, stop)).alias("pos", "_at"))
+    wanted = spans.withColumn("activity_id", number).select("series_id", "activity_id", F.posexplode(F.sequence(first, stop)).alias("pos", "_at"))
     return wanted.join(rows, ["series_id", "_at"]).select("series_id", "activity_id", "pos", "t", "power", "event_id")
 
 
@@ -78,10 +78,10 @@ def otsu_threshold(df: DataFrame, bins: int = 500) -> DataFrame:
     found = found.withColumns({"s": F.col("n") * F.col("c"), "q": F.col("n") * F.col("c") * F.col("c")})
     # classes are the bins below and from each bin on; empty bins never separate better than the next full one
     below = up.rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumns({"n0": F.sum("n").over(below), "s0": F.sum("s").over(below), "q0": F.sum("q").over(below), "N": F.sum("n").over(total), "S": F.sum("s").over(total)})
+    found = found.withColumns({"n0": F.sum("n").over(below), "s0": F.sum("s").over(below), "q0": F.sum("q").over(below), "n_all": F.sum("n").over(total), "s_all": F.sum("s").over(total)})
     found = found.where((F.col("bin") >= 1) & (F.col("bin") <= bins - 2) & (F.col("n0") > 0))
-    gap = F.col("s0") / F.col("n0") - (F.col("S") - F.col("s0")) / (F.col("N") - F.col("n0"))
-    found = found.withColumn("between", F.col("n0") / F.col("N") * (1 - F.col("n0") / F.col("N")) * gap * gap)
+    gap = F.col("s0") / F.col("n0") - (F.col("s_all") - F.col("s0")) / (F.col("n_all") - F.col("n0"))
+    found = found.withColumn("between", F.col("n0") / F.col("n_all") * (1 - F.col("n0") / F.col("n_all")) * gap * gap)
     mean0 = F.col("s0") / F.col("n0")
     found = found.withColumn("cap", mean0 + 6 * F.sqrt(F.greatest(F.col("q0") / F.col("n0") - mean0 * mean0, F.lit(0.0))))
     best = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.round("between", 9)), "bin"))
@@ -93,13 +93,13 @@ def two_means(df: DataFrame, value: str) -> DataFrame:
     """series_id, n, low_max, low_mean, high_mean: the exact split of sorted values into two classes of least squares."""
     up = Window.partitionBy("series_id").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy("series_id")
-    rows = df.withColumns({"k": F.count(F.lit(1)).over(up), "s": F.sum(value).over(up), "N": F.count(F.lit(1)).over(all_), "S": F.sum(value).over(all_)})
-    rest = F.col("N") - F.col("k")
-    gain = F.col("s") * F.col("s") / F.col("k") + F.when(rest > 0, (F.col("S") - F.col("s")) * (F.col("S") - F.col("s")) / rest).otherwise(0.0)
+    rows = df.withColumns({"_k": F.count(F.lit(1)).over(up), "_s": F.sum(value).over(up), "_n": F.count(F.lit(1)).over(all_), "_all": F.sum(value).over(all_)})
+    rest = F.col("_n") - F.col("_k")
+    gain = F.col("_s") * F.col("_s") / F.col("_k") + F.when(rest > 0, (F.col("_all") - F.col("_s")) * (F.col("_all") - F.col("_s")) / rest).otherwise(0.0)
     rows = rows.withColumn("gain", gain).where(rest > 0)
-    best = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.round("gain", 9)), "k"))
+    best = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.round("gain", 9)), "_k"))
     rows = rows.withColumn("_best", best).where("_best = 1")
-    return rows.select("series_id", F.col("N").alias("n"), F.col(value).alias("low_max"), (F.col("s") / F.col("k")).alias("low_mean"), ((F.col("S") - F.col("s")) / rest).alias("high_mean"))
+    return rows.select("series_id", F.col("_n").alias("n"), F.col(value).alias("low_max"), (F.col("_s") / F.col("_k")).alias("low_mean"), ((F.col("_all") - F.col("_s")) / rest).alias("high_mean"))
 
 
 def active_gaps(df: DataFrame, threshold: float) -> DataFrame:

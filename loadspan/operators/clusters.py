@@ -92,10 +92,13 @@ def _scaled(df: DataFrame, stats: DataFrame, first=lambda x, r: x) -> DataFrame:
 def sequence_znorm(df: DataFrame) -> DataFrame:
     """df with each row's features as deviations from their own mean, over their own deviation + 1e-8."""
     n = F.size("features")
-    mean = F.aggregate("features", F.lit(0.0), lambda s, x: s + x) / n
-    df = df.withColumn("_m", mean)
-    df = df.withColumn("_s", F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / n))
-    return df.withColumn("features", F.transform("features", lambda x: (x - F.col("_m")) / (F.col("_s") + 1e-8))).drop("_m", "_s")
+    total = lambda f: F.aggregate("features", F.lit(0.0), lambda s, x: s + f(x))
+    # arrays of one bind the mean and then the deviation, so that neither is computed for every element
+    bound = F.transform(
+        F.array(total(lambda x: x) / n),
+        lambda m: F.transform(F.array(F.sqrt(total(lambda x: (x - m) * (x - m)) / n)), lambda s: F.transform("features", lambda x: (x - m) / (s + 1e-8)))[0],
+    )
+    return df.withColumn("features", bound[0])
 
 
 def nearest_centroid(df: DataFrame, centres: DataFrame) -> DataFrame:

@@ -1,6 +1,511 @@
-"""Named queries over the driver's tables, with their SQL."""
+"""Named queries over the driver's tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from loadspan.functions import windows as win
+from loadspan.operators import activity, clusters, intervals, mapping, pairwise, resample
+from loadspan.plans.tables import daily, primitives, read, series
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+THRESHOLD, GAP, LEAST = 20.0, 21600.0, 3600.0
+PTS = "pts AS (SELECT user_id AS series_id, epoch_us(ts) / 1e6 AS t, value AS power, event_id FROM events)"
+ORD = "PARTITION BY series_id ORDER BY t, event_id"
+EMB = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS features, CAST(label AS INTEGER) AS label, CAST(floor(vec_id / 20) AS BIGINT) AS activity_id, vec_id % 20 AS pos FROM embeddings)"
+LONG = EMB + ", l AS (SELECT id, label, activity_id, unnest(range(len(features))) AS dim, unnest(features) AS value FROM e)"
+ISL = f"""{PTS}, act AS (SELECT * FROM pts WHERE power >= {THRESHOLD}),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER ({ORD}) <= {GAP} THEN 0 ELSE 1 END AS f FROM act),
+i AS (SELECT *, sum(f) OVER ({ORD}) - 1 AS island FROM g),
+s AS (SELECT series_id, island, min(t) AS start_t, max(t) AS end_t, count(*) AS n_active FROM i GROUP BY ALL),
+iv AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY start_t) - 1 AS activity_id, start_t, end_t, end_t - start_t AS duration_sec, n_active
+       FROM s WHERE end_t - start_t >= {LEAST})"""
+DIST = EMB + ", d AS (SELECT a.id, a.label, b.id AS other_id, b.label AS other, list_distance(a.features, b.features) AS d FROM e a JOIN e b ON a.id <> b.id)"
+
+
+def query(sql: str | None = None, *, digits: int = 6):
+    """Registers a function under its name; its doubles, and those of the SQL, are rounded to digits."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select([F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- activity ----
+
+
+@query(f"WITH {PTS} SELECT series_id, round(t, 6) AS t, round(power, 6) AS power, event_id FROM pts WHERE power >= {THRESHOLD}")
+def active_points(spark, d):
+    return activity.active(series(spark, d), THRESHOLD)
+
+
+@query(f"WITH {ISL} SELECT series_id, activity_id, round(start_t, 6) AS start_t, round(end_t, 6) AS end_t, round(duration_sec, 6) AS duration_sec, n_active FROM iv")
+def activity_intervals(spark, d):
+    return activity.intervals(series(spark, d), THRESHOLD, GAP, LEAST)
+
+
+@query(f"""WITH {ISL}, num AS (SELECT *, row_number() OVER ({ORD}) - 1 AS p FROM pts),
+ip AS (SELECT i.series_id, i.island, min(num.p) AS a, max(num.p) AS b, min(i.t) AS start_t, max(i.t) AS end_t FROM i JOIN num ON i.event_id = num.event_id GROUP BY ALL),
+ik AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start_t) - 1 AS activity_id FROM ip WHERE end_t - start_t >= {LEAST})
+SELECT ik.series_id, ik.activity_id, num.p - greatest(ik.a - 2, 0) AS pos, round(num.t, 6) AS t, round(num.power, 6) AS power, num.event_id
+FROM ik JOIN num ON num.series_id = ik.series_id AND num.p BETWEEN ik.a - 2 AND ik.b + 2""")
+def activity_points_ctx(spark, d):
+    return activity.interval_points(series(spark, d), THRESHOLD, GAP, LEAST, context=2)
+
+
+@query(f"WITH {ISL} SELECT series_id, round(start_t, 6) AS start_t, round(end_t, 6) AS end_t, n_active FROM s")
+def activity_session_window(spark, d):
+    rows = series(spark, d).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    found = activity.session_intervals(rows, THRESHOLD, "6 hours")
+    return found.select("series_id", (F.unix_micros("start_ts") / 1e6).alias("start_t"), (F.unix_micros("last_ts") / 1e6).alias("end_t"), "n_active")
+
+
+@query(f"WITH {PTS} SELECT series_id, event_id, round(coalesce(sum(power) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) / 5, 6) AS smooth FROM pts")
+def moving_avg5(spark, d):
+    return win.moving_average(series(spark, d)).select("series_id", "event_id", "smooth")
+
+
+HIST = f"""{PTS}, sm AS (SELECT series_id, sum(power) OVER ({ORD} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS x FROM pts),
+en AS (SELECT series_id, min(x) AS lo, max(x) AS hi FROM sm GROUP BY ALL),
+h AS (SELECT series_id, CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 20), 19) ELSE 0 END AS INTEGER) AS bin, lo, hi, count(*) AS n FROM sm JOIN en USING (series_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {HIST} SELECT series_id, bin, round(lo, 6) AS lo, round(hi, 6) AS hi, n FROM h")
+def otsu_histogram(spark, d):
+    return activity.histogram(win.moving_average(series(spark, d)), bins=20)
+
+
+@query(f"""WITH {HIST}, c AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 20 AS c FROM h),
+k AS (SELECT *, sum(n) OVER w AS n0, sum(n * c) OVER w AS s0, sum(n * c * c) OVER w AS q0, sum(n) OVER p AS nn, sum(n * c) OVER p AS ss FROM c
+      WINDOW w AS (PARTITION BY series_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p AS (PARTITION BY series_id)),
+b AS (SELECT *, n0 / nn * (1 - n0 / nn) * (s0 / n0 - (ss - s0) / (nn - n0)) ** 2 AS bt, s0 / n0 + 6 * sqrt(greatest(q0 / n0 - (s0 / n0) ** 2, 0)) AS cap FROM k WHERE bin BETWEEN 1 AND 18 AND n0 > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(bt, 9) DESC, bin) AS rn FROM b)
+SELECT series_id, bin, round(least(c, cap), 6) AS threshold FROM r WHERE rn = 1""")
+def otsu_threshold(spark, d):
+    return activity.otsu_threshold(series(spark, d), bins=20)
+
+
+GAPS = f"{PTS}, ga AS (SELECT series_id, t - lag(t) OVER ({ORD}) AS gap FROM pts WHERE power > {THRESHOLD})"
+
+
+@query(f"WITH {GAPS} SELECT series_id, count(*) AS n, round(median(gap), 6) AS median_gap, round(max(gap), 6) AS max_gap FROM ga WHERE gap IS NOT NULL GROUP BY series_id")
+def gap_stats(spark, d):
+    gaps = activity.active_gaps(series(spark, d), THRESHOLD)
+    return gaps.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap"))
+
+
+@query(f"""WITH {GAPS}, x AS (SELECT series_id, ln(1 + gap) AS g FROM ga WHERE gap IS NOT NULL),
+c AS (SELECT *, count(*) OVER w AS k, sum(g) OVER w AS s, count(*) OVER p AS nn, sum(g) OVER p AS ss FROM x
+      WINDOW w AS (PARTITION BY series_id ORDER BY g ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY series_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(s * s / k + (ss - s) ** 2 / (nn - k), 9) DESC, k) AS rn FROM c WHERE nn > k)
+SELECT series_id, nn AS n, round(g, 5) AS low_max, round(s / k, 5) AS low_mean, round((ss - s) / (nn - k), 5) AS high_mean FROM r WHERE rn = 1""")
+def gap_two_means(spark, d):
+    found = activity.two_means(activity.active_gaps(series(spark, d), THRESHOLD).withColumn("g", F.log1p("gap")), "g")
+    return found.select("series_id", "n", *[F.round(c, 5).alias(c) for c in ("low_max", "low_mean", "high_mean")])
+
+
+@query()
+def learned_time_parameters(spark, d):
+    return activity.time_parameters(series(spark, d), THRESHOLD)
+
+
+@query(f"WITH {ISL} SELECT series_id, island, round(end_t - start_t, 6) AS duration_sec FROM s")
+def island_durations(spark, d):
+    found = activity.islands(series(spark, d), THRESHOLD, GAP).groupBy("series_id", "island")
+    return found.agg((F.max("t") - F.min("t")).alias("duration_sec"))
+
+
+# ---- resampling ----
+
+BUCKET = 21600
+BM = f"{PTS}, bm AS (SELECT series_id, CAST(floor(t / {BUCKET}) * {BUCKET} AS BIGINT) AS b, avg(power) AS power FROM pts GROUP BY ALL)"
+DENSE = BM + f", en AS (SELECT series_id, min(b) AS lo, max(b) AS hi FROM bm GROUP BY ALL), gr AS (SELECT series_id, unnest(range(lo, hi + 1, {BUCKET})) AS b FROM en), de AS (SELECT gr.series_id, gr.b, bm.power FROM gr LEFT JOIN bm USING (series_id, b))"
+FILL = DENSE + """, f AS (SELECT *, last_value(CASE WHEN power IS NOT NULL THEN b END IGNORE NULLS) OVER p AS b0, last_value(power IGNORE NULLS) OVER p AS p0,
+ first_value(CASE WHEN power IS NOT NULL THEN b END IGNORE NULLS) OVER n AS b1, first_value(power IGNORE NULLS) OVER n AS p1 FROM de
+ WINDOW p AS (PARTITION BY series_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY series_id ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"WITH {BM} SELECT series_id, b, round(power, 6) AS power FROM bm")
+def resample_mean(spark, d):
+    return resample.bucket_mean(series(spark, d), BUCKET)
+
+
+@query(f"WITH {DENSE} SELECT series_id, b, round(power, 6) AS power FROM de")
+def resample_dense(spark, d):
+    return resample.densified(series(spark, d), BUCKET)
+
+
+@query(f"WITH {FILL} SELECT series_id, b, round(coalesce(power, p0 + (p1 - p0) * (b - b0) / (b1 - b0)), 6) AS power FROM f")
+def resample_interp(spark, d):
+    return resample.interpolated(resample.densified(series(spark, d), BUCKET))
+
+
+@query(f"WITH {FILL} SELECT series_id, b, round(coalesce(power, CASE WHEN b1 - b0 <= {2 * BUCKET} THEN p0 + (p1 - p0) * (b - b0) / (b1 - b0) END), 6) AS power FROM f")
+def resample_longgap_null(spark, d):
+    return resample.interpolated(resample.densified(series(spark, d), BUCKET), longest=2 * BUCKET)
+
+
+@query(f"WITH {FILL} SELECT series_id, b, round(coalesce(p0, p1, 0), 6) AS power FROM f")
+def fill_forward_backward(spark, d):
+    return resample.filled(resample.densified(series(spark, d), BUCKET))
+
+
+# ---- windows ----
+
+
+@query(f"WITH {PTS} SELECT event_id, round(power - coalesce(lag(power) OVER ({ORD}), power), 6) AS diff FROM pts")
+def first_diff(spark, d):
+    return win.first_difference(series(spark, d)).select("event_id", "diff")
+
+
+@query(f"WITH {PTS} SELECT event_id, round(median(power) OVER w, 6) AS roll_median, round(coalesce(stddev_samp(power) OVER w, 0), 6) AS roll_std FROM pts WINDOW w AS ({ORD} ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)")
+def rolling_median_std(spark, d):
+    return win.rolling_median_std(series(spark, d)).select("event_id", "roll_median", "roll_std")
+
+
+@query(f"WITH {PTS} SELECT event_id, round(list_sort([coalesce(lag(power, 2) OVER w, 0), coalesce(lag(power) OVER w, 0), power, coalesce(lead(power) OVER w, 0), coalesce(lead(power, 2) OVER w, 0)])[3], 6) AS cleaned FROM pts WINDOW w AS ({ORD})")
+def medfilt5(spark, d):
+    return win.median_filter5(series(spark, d)).select("event_id", "cleaned")
+
+
+GLR = f"""{PTS}, gl AS (SELECT *, CASE WHEN count(*) OVER a = 10 AND count(*) OVER c = 11 THEN (avg(power) OVER a - avg(power) OVER b) ** 2 / (var_pop(power) OVER a / 10 + var_pop(power) OVER b / 10 + 1e-12) ELSE 0 END AS glr
+FROM pts WINDOW a AS ({ORD} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), b AS ({ORD} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), c AS ({ORD} ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING))"""
+
+
+@query(f"WITH {GLR} SELECT event_id, round(glr, 6) AS glr FROM gl")
+def glr_score(spark, d):
+    return win.glr_score(series(spark, d)).select("event_id", "glr")
+
+
+@query(f"WITH {GLR} SELECT series_id, round(quantile_cont(glr, 0.8), 6) AS level FROM gl WHERE glr > 0 GROUP BY series_id")
+def quantile_threshold(spark, d):
+    return win.glr_score(series(spark, d)).where("glr > 0").groupBy("series_id").agg(F.percentile("glr", F.lit(0.8)).alias("level"))
+
+
+@query(f"WITH {GLR}, r AS (SELECT series_id, event_id, glr, row_number() OVER (PARTITION BY series_id ORDER BY round(glr, 9) DESC, event_id) AS rank FROM gl) SELECT series_id, event_id, rank, round(glr, 6) AS glr FROM r WHERE rank <= 3")
+def topk_glr(spark, d):
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.round("glr", 9)), "event_id"))
+    return win.glr_score(series(spark, d)).withColumn("rank", rank).where("rank <= 3").select("series_id", "event_id", "rank", "glr")
+
+
+@query(f"""WITH {PTS}, x AS (SELECT *, lead(power) OVER ({ORD}) - power AS st FROM pts),
+y AS (SELECT event_id, avg(power) OVER w AS m, stddev_pop(power) OVER w AS s, sum(power * power) OVER w AS q, coalesce(sum(st * st) OVER v, 0) + 1e-5 AS dq, count(*) OVER w AS n FROM x WINDOW w AS ({ORD} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), v AS ({ORD} ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING))
+SELECT event_id, round(m, 6) AS slide_mean, round(CASE WHEN s < 1e-3 THEN 1 ELSE s END, 6) AS slide_std, round(q, 4) AS slide_sq, round(dq, 4) AS slide_dsq FROM y WHERE n = 10""")
+def sliding_stats(spark, d):
+    found = win.sliding_statistics(series(spark, d))
+    return found.select("event_id", "slide_mean", "slide_std", F.round("slide_sq", 4).alias("slide_sq"), F.round("slide_dsq", 4).alias("slide_dsq"))
+
+
+@query(f"WITH {PTS} SELECT event_id, round(coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0), 6) AS dt FROM pts WINDOW w AS ({ORD})")
+def forward_dt(spark, d):
+    return win.forward_durations(series(spark, d)).select("event_id", "dt")
+
+
+@query(f"WITH {EMB} SELECT id, lag(label) OVER w AS prev_label, lead(label) OVER w AS next_label FROM e WINDOW w AS (PARTITION BY activity_id ORDER BY pos)")
+def neighbour_labels(spark, d):
+    return win.neighbour_labels(primitives(spark, d)).select("id", "prev_label", "next_label")
+
+
+# ---- clusters ----
+
+
+@query(f"WITH {EMB} SELECT label, count(*) AS n FROM e GROUP BY label")
+def label_histogram(spark, d):
+    return clusters.label_histogram(primitives(spark, d))
+
+
+SIZES = EMB + ", z AS (SELECT label, count(*) AS n FROM e WHERE label <> -1 GROUP BY label)"
+FEW = SIZES + ", few AS (SELECT label, n FROM z WHERE n < (SELECT avg(n) FROM z) * 95 / 100), big AS (SELECT label FROM z WHERE label NOT IN (SELECT label FROM few))"
+
+
+def _few(spark, d):
+    return clusters.fewshot(primitives(spark, d), amount=95.0)
+
+
+@query(f"WITH {FEW} SELECT label, n FROM few")
+def fewshot_avg_percent(spark, d):
+    return _few(spark, d)
+
+
+@query(f"WITH {SIZES} SELECT label, n FROM z WHERE n < 48")
+def fewshot_threshold(spark, d):
+    return clusters.fewshot(primitives(spark, d), "threshold", 48)
+
+
+@query(f"WITH {SIZES} SELECT round(min(n) / sum(n), 5) AS share FROM z")
+def min_cluster_share(spark, d):
+    return clusters.min_cluster_share(primitives(spark, d))
+
+
+@query(f"WITH {LONG} SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(value), 6) AS value FROM l GROUP BY ALL")
+def centroids(spark, d):
+    return clusters.centroids(primitives(spark, d))
+
+
+def _long(df):
+    return clusters.long_form(df.select("id", "features")).select("id", "dim", "value")
+
+
+@query(f"WITH {LONG}, s AS (SELECT dim, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY dim) SELECT id, CAST(dim AS INTEGER) AS dim, round((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM l JOIN s USING (dim)")
+def zscore_features(spark, d):
+    return _long(clusters.zscored(primitives(spark, d)))
+
+
+@query(f"WITH {LONG}, s AS (SELECT dim, min(value) AS m, max(value) - min(value) AS s FROM l GROUP BY dim) SELECT id, CAST(dim AS INTEGER) AS dim, round((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM l JOIN s USING (dim)")
+def minmax_features(spark, d):
+    return _long(clusters.minmax_scaled(primitives(spark, d)))
+
+
+@query(f"WITH {LONG}, s AS (SELECT dim, quantile_cont(value, 0.01) AS m, quantile_cont(value, 0.99) AS h FROM l GROUP BY dim) SELECT id, CAST(dim AS INTEGER) AS dim, round((greatest(least(value, h), m) - m) / CASE WHEN h > m THEN h - m ELSE 1 END, 6) AS value FROM l JOIN s USING (dim)")
+def percentile_clip_minmax(spark, d):
+    return _long(clusters.clipped_minmax(primitives(spark, d)))
+
+
+@query(f"WITH {LONG}, s AS (SELECT id, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY id) SELECT id, CAST(dim AS INTEGER) AS dim, round((value - m) / (s + 1e-8), 6) AS value FROM l JOIN s USING (id)")
+def seq_znorm(spark, d):
+    return _long(clusters.sequence_znorm(primitives(spark, d)))
+
+
+@query(f"WITH {DIST} SELECT id, label, other, count(*) AS n, round(sum(d), 5) AS total FROM d GROUP BY ALL")
+def pairwise_dist(spark, d):
+    found = pairwise.distance_sums(primitives(spark, d)).where("n > 0")
+    return found.select("id", "label", "other", "n", F.round("total", 5).alias("total"))
+
+
+@query(f"WITH {DIST}, r AS (SELECT id, other_id, d, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), other_id) AS rank FROM d) SELECT id, CAST(rank AS INTEGER) AS rank, other_id AS neighbour, round(d, 5) AS distance FROM r WHERE rank <= 3")
+def knn3(spark, d):
+    return pairwise.nearest(primitives(spark, d), 3).withColumn("distance", F.round("distance", 5))
+
+
+CEN = LONG + ", cm AS (SELECT label, dim, avg(value) AS value FROM l GROUP BY ALL), cv AS (SELECT label, list(value ORDER BY dim) AS c FROM cm GROUP BY label)"
+
+
+@query(f"WITH {CEN}, r AS (SELECT e.id, e.label, cv.label AS nearest, list_distance(e.features, cv.c) ** 2 AS d2, row_number() OVER (PARTITION BY e.id ORDER BY list_distance(e.features, cv.c), cv.label) AS rn FROM e CROSS JOIN cv) SELECT id, label, nearest, round(d2, 6) AS d2 FROM r WHERE rn = 1")
+def nearest_centroid(spark, d):
+    p = primitives(spark, d)
+    return clusters.nearest_centroid(p, clusters.centroid_vectors(p))
+
+
+@query(f"WITH {DIST} SELECT id, round(sum(exp(-((d / 8.0) ** 2))), 6) AS rho FROM d GROUP BY id")
+def dpc_density(spark, d):
+    return pairwise.densities(primitives(spark, d), 8.0)
+
+
+RHO = DIST + ", rho AS (SELECT id, sum(exp(-((d / 8.0) ** 2))) AS rho FROM d GROUP BY id), de AS (SELECT a.id, a.rho, coalesce(min(CASE WHEN round(b.rho, 9) > round(a.rho, 9) OR (round(b.rho, 9) = round(a.rho, 9) AND b.id < a.id) THEN d.d END), max(d.d)) AS delta FROM rho a JOIN d ON d.id = a.id JOIN rho b ON b.id = d.other_id GROUP BY ALL)"
+
+
+def _delta(spark, d):
+    p = primitives(spark, d)
+    return pairwise.separations(p.join(pairwise.densities(p, 8.0), "id"))
+
+
+@query(f"WITH {RHO} SELECT id, round(rho, 6) AS rho, round(delta, 5) AS delta FROM de")
+def dpc_delta(spark, d):
+    return _delta(spark, d).withColumn("delta", F.round("delta", 5))
+
+
+@query(f"WITH {RHO}, n AS (SELECT id, (rho - min(rho) OVER ()) / (max(rho) OVER () - min(rho) OVER ()) * (delta - min(delta) OVER ()) / (max(delta) OVER () - min(delta) OVER ()) AS gamma FROM de) SELECT id, round(gamma, 5) AS gamma FROM n ORDER BY round(gamma, 9) DESC, id LIMIT 5")
+def dpc_gamma_topk(spark, d):
+    found = _delta(spark, d)
+    ends = found.agg(F.min("rho").alias("a"), F.max("rho").alias("b"), F.min("delta").alias("c"), F.max("delta").alias("d"))
+    gamma = (F.col("rho") - F.col("a")) / (F.col("b") - F.col("a")) * (F.col("delta") - F.col("c")) / (F.col("d") - F.col("c"))
+    return found.crossJoin(ends).select("id", gamma.alias("gamma")).orderBy(F.desc(F.round("gamma", 9)), "id").limit(5).withColumn("gamma", F.round("gamma", 5))
+
+
+SIL = DIST + ", sm AS (SELECT id, label, other, avg(d) AS a FROM d GROUP BY ALL), si AS (SELECT id, label, max(CASE WHEN other = label THEN a END) AS a, min(CASE WHEN other <> label THEN a END) AS b FROM sm GROUP BY ALL)"
+
+
+@query(f"WITH {SIL} SELECT label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS score FROM si GROUP BY label")
+def silhouette(spark, d):
+    found = clusters.silhouette(primitives(spark, d)).groupBy("label").agg(F.avg("score").alias("score"))
+    return found.withColumn("score", F.round("score", 5))
+
+
+SPREAD = CEN + ", sp AS (SELECT cv.label, cv.c, count(*) AS n, avg(list_distance(e.features, cv.c)) AS s, sum(list_distance(e.features, cv.c) ** 2) AS w FROM e JOIN cv ON e.label = cv.label GROUP BY ALL)"
+
+
+@query(f"WITH {SPREAD}, r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM sp a JOIN sp b ON a.label <> b.label GROUP BY a.label) SELECT round(avg(r), 5) AS dbi FROM r")
+def davies_bouldin(spark, d):
+    return clusters.davies_bouldin(primitives(spark, d)).withColumn("dbi", F.round("dbi", 5))
+
+
+@query(f"WITH {SPREAD}, m AS (SELECT list(v ORDER BY dim) AS c FROM (SELECT dim, avg(value) AS v FROM l GROUP BY dim)) SELECT round(sum(n * list_distance(sp.c, m.c) ** 2) * (sum(n) - count(*)) / (sum(w) * (count(*) - 1)), 5) AS chi FROM sp CROSS JOIN m")
+def calinski_harabasz(spark, d):
+    return clusters.calinski_harabasz(primitives(spark, d)).withColumn("chi", F.round("chi", 5))
+
+
+@query("""WITH m AS (SELECT l_linenumber AS k, avg(l_extendedprice) AS sci, avg(l_quantity) AS dbi, avg(l_discount) AS dbcv FROM lineitem GROUP BY 1)
+SELECT k, row_number() OVER (ORDER BY dbi, k) + row_number() OVER (ORDER BY sci DESC, k) + row_number() OVER (ORDER BY dbcv DESC, k) - 3 AS rank_sum FROM m""")
+def rank_sum(spark, d):
+    m = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_extendedprice").alias("sci"), F.avg("l_quantity").alias("dbi"), F.avg("l_discount").alias("dbcv"))
+    return clusters.rank_sum(m).withColumn("rank_sum", F.col("rank_sum").cast("long"))
+
+
+ADJ = FEW + """, nb AS (SELECT id, label, lag(label) OVER w AS p, lead(label) OVER w AS q FROM e WINDOW w AS (PARTITION BY activity_id ORDER BY pos)),
+sd AS (SELECT id, label, unnest([p, q]) AS side FROM nb WHERE label IN (SELECT label FROM few)),
+sb AS (SELECT * FROM sd WHERE side IN (SELECT label FROM big)),
+ht AS (SELECT label, side, count(*) AS hits, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, side) AS rn FROM sb GROUP BY label, side),
+ad AS (SELECT ht.label, ht.side AS dominant, ht.hits, x.n AS n_adjacent, ht.hits / x.n AS adj_ratio FROM ht JOIN (SELECT label, count(DISTINCT id) AS n FROM sb GROUP BY label) x USING (label) WHERE rn = 1)"""
+
+
+@query(f"WITH {ADJ} SELECT label, dominant, hits, n_adjacent, round(adj_ratio, 6) AS adj_ratio FROM ad")
+def adjacency_ratio(spark, d):
+    p, few = primitives(spark, d), _few(spark, d)
+    return clusters.adjacency(p, few, clusters.label_histogram(p).join(few, "label", "left_anti"))
+
+
+SUP = ADJ + """, l AS (SELECT id, label, unnest(range(len(features))) AS dim, unnest(features) AS value FROM e), cm AS (SELECT label, dim, avg(value) AS value FROM l GROUP BY ALL), cv AS (SELECT label, list(value ORDER BY dim) AS c FROM cm GROUP BY label),
+nr AS (SELECT e.id, e.label, cv.label AS nearest, list_distance(e.features, cv.c) AS d, row_number() OVER (PARTITION BY e.id ORDER BY list_distance(e.features, cv.c), cv.label) AS rn FROM e CROSS JOIN cv WHERE cv.label IN (SELECT label FROM big) AND e.label IN (SELECT label FROM few)),
+su AS (SELECT e.label, avg(CASE WHEN nr.nearest = ad.dominant AND nr.d < list_distance(e.features, cv.c) * 0.9 THEN 1 ELSE 0 END) AS support FROM e JOIN ad ON e.label = ad.label JOIN nr ON nr.id = e.id AND nr.rn = 1 JOIN cv ON cv.label = e.label GROUP BY e.label)"""
+
+
+@query(f"WITH {SUP} SELECT label, round(support, 6) AS centre_support FROM su")
+def center_support(spark, d):
+    p, few = primitives(spark, d), _few(spark, d)
+    big = clusters.label_histogram(p).join(few, "label", "left_anti")
+    return clusters.centre_support(p, clusters.adjacency(p, few, big), big)
+
+
+ART = "SELECT few.label, ad.dominant, ad.adj_ratio, su.support, coalesce(ad.adj_ratio >= 0.3 AND su.support >= 0.02, false) AS artifact FROM few LEFT JOIN ad USING (label) LEFT JOIN su USING (label)"
+
+
+def _artifacts(spark, d):
+    return clusters.artifact_report(primitives(spark, d), _few(spark, d), adj_least=0.3, support_least=0.02)
+
+
+@query(f"WITH {SUP}, ar AS ({ART}) SELECT label, dominant, round(adj_ratio, 6) AS adj_ratio, round(support, 6) AS centre_support, artifact FROM ar")
+def artifact_report(spark, d):
+    return _artifacts(spark, d)
+
+
+@query(f"WITH {SUP}, ar AS ({ART}) SELECT label, n FROM few WHERE label NOT IN (SELECT label FROM ar WHERE artifact)")
+def true_fewshot(spark, d):
+    return _few(spark, d).join(_artifacts(spark, d).where("artifact"), "label", "left_anti")
+
+
+RLE = EMB + """, f AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS f FROM e WINDOW w AS (PARTITION BY activity_id ORDER BY pos)), b AS (SELECT *, sum(f) OVER (PARTITION BY activity_id ORDER BY pos) - 1 AS block_id FROM f),
+rl AS (SELECT activity_id, CAST(block_id AS BIGINT) AS block_id, label, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_segments, string_agg(id, ',' ORDER BY id) AS members FROM b GROUP BY ALL)"""
+
+
+@query(f"WITH {RLE} SELECT * FROM rl")
+def label_rle(spark, d):
+    found = clusters.label_runs(primitives(spark, d))
+    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query(f"WITH {RLE}, m AS (SELECT activity_id, CAST(block_id AS BIGINT) AS block_id, unnest(range(len(features))) AS dim, unnest(features) AS value FROM b) SELECT activity_id, block_id, CAST(dim AS INTEGER) AS dim, round(avg(value), 6) AS value FROM m GROUP BY ALL")
+def block_features(spark, d):
+    p = primitives(spark, d)
+    return clusters.run_features(p, clusters.label_runs(p))
+
+
+@query(f"WITH {RLE} SELECT label, count(*) AS n_blocks, CAST(sum(n_segments) AS BIGINT) AS n_segments FROM rl GROUP BY label")
+def state_summary(spark, d):
+    return clusters.state_summary(clusters.label_runs(primitives(spark, d)))
+
+
+@query(f"WITH {RLE} SELECT id, activity_id, CAST(block_id AS BIGINT) AS block_id FROM b")
+def segment_to_block(spark, d):
+    runs = clusters.label_runs(primitives(spark, d))
+    return runs.select(F.explode("members").alias("id"), "activity_id", "block_id")
+
+
+# ---- mapping ----
+
+
+@query("SELECT e.vec_id AS id, x.n FROM embeddings e LEFT JOIN (SELECT o_orderkey AS id, count(*) AS n FROM orders GROUP BY 1) x ON e.vec_id = x.id")
+def pam_left_join(spark, d):
+    n = read(spark, d, "orders").groupBy(F.col("o_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return mapping.labelled(primitives(spark, d).select("id"), n)
+
+
+def _activities(spark, d):
+    return primitives(spark, d).select("activity_id").distinct()
+
+
+@query(f"WITH {FEW} SELECT DISTINCT activity_id FROM e WHERE label IN (SELECT label FROM few)")
+def fewshot_activities_semi(spark, d):
+    return mapping.fewshot_activities(_activities(spark, d), primitives(spark, d), _few(spark, d))[0]
+
+
+@query(f"WITH {FEW} SELECT DISTINCT activity_id FROM e WHERE activity_id NOT IN (SELECT activity_id FROM e WHERE label IN (SELECT label FROM few))")
+def nonfewshot_anti(spark, d):
+    return mapping.fewshot_activities(_activities(spark, d), primitives(spark, d), _few(spark, d))[1]
+
+
+@query(f"""WITH {PTS}, n AS (SELECT series_id, row_number() OVER ({ORD}) - 1 AS p, t FROM pts)
+SELECT CAST(series_id * 1000 + p // 10 AS BIGINT) AS id, series_id AS activity_id, round(min(t), 6) AS start_t, round(max(t), 6) AS end_t FROM n GROUP BY ALL""")
+def primitive_time_range(spark, d):
+    points = win.with_position(series(spark, d)).withColumn("activity_id", F.col("series_id"))
+    prims = points.groupBy("activity_id", F.floor(F.col("pos") / 10).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("length"))
+    prims = prims.select((F.col("activity_id") * 1000 + F.col("k")).alias("id"), "activity_id", (F.col("k") * 10).alias("start"), "length")
+    return mapping.time_ranges(prims, points.select("activity_id", F.col("pos").cast("long").alias("pos"), "t"))
+
+
+# ---- knock-out ----
+
+DAY = 86400
+SPANS = [(0, DAY * 10.0 + 8.5e8 // DAY * DAY, DAY * 40.0 + 8.5e8 // DAY * DAY), (0, DAY * 30.0 + 8.5e8 // DAY * DAY, DAY * 90.0 + 8.5e8 // DAY * DAY), (0, DAY * 200.0 + 8.5e8 // DAY * DAY, DAY * 150.0 + 8.5e8 // DAY * DAY)]
+MASK = "sp(s, e) AS (VALUES " + ", ".join(f"({min(a, b)}, {max(a, b)})" for _, a, b in SPANS) + """), dy AS (SELECT CAST(0 AS INTEGER) AS series_id, floor(epoch_us(l_shipdate) / 86400e6) * 86400.0 AS t, sum(l_quantity) AS mains, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS branch FROM lineitem GROUP BY ALL),
+mk AS (SELECT *, EXISTS (SELECT 1 FROM sp WHERE t BETWEEN s AND e) AS "drop" FROM dy)"""
+
+
+def _masked(spark, d):
+    both = daily(spark, d).withColumnRenamed("power", "mains").join(daily(spark, d, "R").withColumnRenamed("power", "branch"), ["series_id", "t"], "left").fillna(0.0, ["branch"])
+    return intervals.dropped(both, spark.createDataFrame(SPANS, "series_id int, start_t double, end_t double"))
+
+
+@query(f'WITH {MASK} SELECT series_id, t, "drop" FROM mk')
+def drop_mask_range_semi(spark, d):
+    return _masked(spark, d).select("series_id", "t", "drop")
+
+
+@query(f'WITH {MASK} SELECT series_id, t, round(CASE WHEN "drop" THEN 0 ELSE branch END, 6) AS new_branch, round(greatest(mains - CASE WHEN "drop" THEN branch ELSE 0 END, 0), 6) AS new_mains FROM mk')
+def knockout_branch_mains(spark, d):
+    return intervals.knocked_out(_masked(spark, d)).select("series_id", "t", "new_branch", "new_mains")
+
+
+@query(f'WITH {MASK} SELECT series_id, count(*) AS n_points, count(*) FILTER ("drop") AS drop_points, count(*) FILTER (mains - CASE WHEN "drop" THEN branch ELSE 0 END < 0) AS negative_before_clip, round(count(*) FILTER ("drop") / count(*), 6) AS drop_ratio FROM mk GROUP BY series_id')
+def knockout_quality(spark, d):
+    return intervals.knockout_quality(_masked(spark, d))
+
+
+@query(f'WITH {MASK}, x AS (SELECT *, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0) AS dt FROM mk WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, sum(CASE WHEN "drop" THEN dt ELSE 0 END) AS mask_seconds FROM x GROUP BY series_id')
+def mask_duration(spark, d):
+    return intervals.mask_duration(_masked(spark, d).withColumn("event_id", F.lit(0)))
+
+
+PART = f"{ISL}, pt AS (SELECT *, CASE WHEN activity_id % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM iv)"
+
+
+def _parts(spark, d):
+    return activity_intervals(spark, d).withColumn("part", F.when(F.col("activity_id") % 3 == 0, "test").otherwise("train"))
+
+
+@query(f"""WITH {PART}, sx AS (SELECT part, count(*) AS n_events, sum(duration_sec) AS seconds FROM pt GROUP BY part)
+SELECT part, n_events, round(seconds, 4) AS seconds, round(n_events / sum(n_events) OVER (), 6) AS event_share, round(seconds / sum(seconds) OVER (), 6) AS seconds_share FROM sx""")
+def composition_summary(spark, d):
+    return intervals.composition(_parts(spark, d)).withColumn("seconds", F.round("seconds", 4))
+
+
+@query(f"""WITH {PART} SELECT 'train' AS dataset, p.series_id, p.event_id, EXISTS (SELECT 1 FROM pt WHERE part = 'test' AND pt.series_id = p.series_id AND p.t BETWEEN start_t AND end_t) AS "drop" FROM pts p
+UNION ALL SELECT 'test', p.series_id, p.event_id, EXISTS (SELECT 1 FROM pt WHERE part = 'train' AND pt.series_id = p.series_id AND p.t BETWEEN start_t AND end_t) FROM pts p""")
+def split_datasets_union(spark, d):
+    rows, spans = series(spark, d), _parts(spark, d)
+    one = lambda name, out: intervals.dropped(rows, spans.where(F.col("part") == out)).select(F.lit(name).alias("dataset"), "series_id", "event_id", "drop")
+    return one("train", "test").unionByName(one("test", "train"))
