@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from loadspan.functions import windows as win
-from loadspan.operators import activity, clusters, intervals, mapping, pairwise, resample
+from loadspan.operators import activity, blocks, changepoints, charts, clusters, intervals, mapping, pairwise, resample, segmentation
 from loadspan.plans.tables import daily, primitives, read, series
+from loadspan.sources import readers
+from loadspan.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -509,3 +511,189 @@ def split_datasets_union(spark, d):
     rows, spans = series(spark, d), _parts(spark, d)
     one = lambda name, out: intervals.dropped(rows, spans.where(F.col("part") == out)).select(F.lit(name).alias("dataset"), "series_id", "event_id", "drop")
     return one("train", "test").unionByName(one("test", "train"))
+
+
+# ---- sequential operators: no SQL; tests hold them against small cases ----
+
+
+def _points(spark, d):
+    return activity.interval_points(series(spark, d), THRESHOLD, 1e9, 0.0, context=2)
+
+
+def _blocks(spark, d, **options):
+    found = blocks.merged_activities(primitives(spark, d), **options)
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("members", "absorbed_labels")})
+
+
+@query()
+def absorb_short(spark, d):
+    return _blocks(spark, d, least_length=15.0, similar=False)
+
+
+@query()
+def similar_merge(spark, d):
+    return _blocks(spark, d, least_length=0.0, tolerance=1.2)
+
+
+@query()
+def merge_activity(spark, d):
+    return _blocks(spark, d, least_length=15.0, tolerance=1.2)
+
+
+def _segments(method, **options):
+    def run(spark, d):
+        return segmentation.segmented(_points(spark, d), method, **options)
+
+    run.__name__ = method.replace("-", "_") + "_segments"
+    return run
+
+
+query()(_segments("clasp", window_size=5))
+query()(_segments("clasp-origin", window_size=5))
+query()(_segments("fluss", w=8, excl_factor=2))
+query()(_segments("prim-glr"))
+
+
+@query()
+def segment_channels(spark, d):
+    return segmentation.channels(_points(spark, d))
+
+
+@query()
+def window_sizes(spark, d):
+    return segmentation.window_sizes(_points(spark, d))
+
+
+@query()
+def clasp_profile(spark, d):
+    return segmentation.profiles(_points(spark, d), window=5)
+
+
+@query()
+def kmeans_all_k(spark, d):
+    return segmentation.clustered(primitives(spark, d), "kmeans", n_init=10)
+
+
+@query()
+def kmeans_distributed(spark, d):
+    return segmentation.kmeans_distributed(primitives(spark, d), 4, n_init=2)
+
+
+@query()
+def kmeans_scan(spark, d):
+    return segmentation.scan(primitives(spark, d))
+
+
+@query()
+def dpc_kmeans(spark, d):
+    return segmentation.clustered(primitives(spark, d), "dpc-kmeans")
+
+
+@query()
+def dpc_kmeans_scan(spark, d):
+    return segmentation.scan(primitives(spark, d), "dpc-kmeans")
+
+
+@query()
+def dbscan_labels(spark, d):
+    return segmentation.clustered(primitives(spark, d), "dbscan", eps=1.3, min_pts=5)
+
+
+@query(f"WITH {EMB} SELECT a.id, count(*) FILTER (list_distance(a.features, b.features) <= 1.25) AS n FROM e a CROSS JOIN e b GROUP BY a.id")
+def dbscan_neighbours(spark, d):
+    return pairwise.neighbour_counts(primitives(spark, d), 1.25)
+
+
+@query()
+def hdbscan_labels(spark, d):
+    return segmentation.clustered(primitives(spark, d), "hdbscan", min_cluster_size=10)
+
+
+def _samples(spark, d):
+    return primitives(spark, d).select("id", F.col("features").alias("samples"))
+
+
+@query()
+def dtw_features(spark, d):
+    return segmentation.dtw_features(_samples(spark, d), 4).select("id", F.posexplode("features").alias("dim", "value"))
+
+
+@query(f"WITH {EMB}, p AS (SELECT id, features, unnest(range(7)) AS part FROM e), q AS (SELECT id, part, features, CAST(floor(part * 64 / 7) AS INTEGER) AS a, CAST(floor((part + 1) * 64 / 7) AS INTEGER) AS b FROM p) SELECT id, CAST(part AS INTEGER) AS part, round(list_sum(features[a + 1 : b]) / (b - a), 6) AS value FROM q")
+def paa(spark, d):
+    return segmentation.paa(_samples(spark, d), 7)
+
+
+@query(f"""WITH {GLR}, n AS (SELECT series_id, glr, row_number() OVER ({ORD}) - 1 AS p, count(*) OVER (PARTITION BY series_id) AS n FROM gl),
+a AS (SELECT series_id, p AS s, coalesce(lead(p) OVER (PARTITION BY series_id ORDER BY p), n) AS e, n FROM n WHERE p % 20 = 0),
+b AS (SELECT series_id, p AS s, coalesce(lead(p) OVER (PARTITION BY series_id ORDER BY p), n) AS e FROM n WHERE p % 13 = 0),
+j AS (SELECT a.series_id, a.s, a.e, a.n, max(greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) / (a.e - a.s + b.e - b.s - greatest(0, least(a.e, b.e) - greatest(a.s, b.s)))) AS jac FROM a JOIN b ON a.series_id = b.series_id GROUP BY ALL)
+SELECT series_id, round(sum((e - s) * jac) / max(n), 6) AS covering FROM j GROUP BY series_id""")
+def cp_covering(spark, d):
+    rows = win.with_position(series(spark, d)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series_id")))
+    cut = lambda k: rows.where(F.col("pos") % k == 0).select("series_id", F.col("pos").alias("s"), "n")
+    return changepoints.covering(cut(20), cut(13))
+
+
+@query(f"""WITH {PTS}, n AS (SELECT series_id, row_number() OVER ({ORD}) - 1 AS p FROM pts)
+SELECT a.series_id, round(median(dist), 6) AS d_nn FROM (SELECT a.series_id, a.p, min(abs(a.p - b.p)) AS dist FROM n a JOIN n b ON a.series_id = b.series_id WHERE a.p % 13 = 0 AND b.p % 20 = 0 GROUP BY ALL) a GROUP BY a.series_id""")
+def cp_nn_distance(spark, d):
+    rows = win.with_position(series(spark, d))
+    cut = lambda k: rows.where(F.col("pos") % k == 0).select("series_id", F.col("pos").alias("s"))
+    return changepoints.nearest_distance(cut(13), cut(20)).groupBy("series_id").agg(F.median("distance").cast("double").alias("d_nn"))
+
+
+@query(f"""WITH {PTS}, n AS (SELECT series_id, row_number() OVER ({ORD}) - 1 AS p FROM pts), c AS (SELECT series_id, count(*) FILTER (p % 13 = 0) AS m, count(*) FILTER (p % 20 = 0) AS r FROM n GROUP BY series_id)
+SELECT series_id, round(greatest(0, m - r) / greatest(1, r), 6) AS osr, round(greatest(0, r - m) / greatest(1, r), 6) AS usr FROM c""")
+def cp_osr_usr(spark, d):
+    rows = win.with_position(series(spark, d)).groupBy("series_id").agg(F.count_if(F.col("pos") % 13 == 0).alias("m"), F.count_if(F.col("pos") % 20 == 0).alias("r"))
+    return changepoints.segmentation_rates(rows)
+
+
+@query()
+def cp_comparison(spark, d):
+    rows = win.with_position(series(spark, d)).groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pos") % 20 == 0, F.col("pos")))).alias("truth"), F.sort_array(F.collect_list(F.when(F.col("pos") % 13 == 0, F.col("pos")))).alias("found"), F.count(F.lit(1)).alias("n")
+    )
+    return changepoints.compared(rows)
+
+
+@query(f"""WITH {PTS}, n AS (SELECT series_id, row_number() OVER ({ORD}) - 1 AS p FROM pts), b AS (SELECT series_id, p, row_number() OVER (PARTITION BY series_id ORDER BY p) AS k FROM n WHERE p % 13 = 0), r AS (SELECT series_id, p FROM n WHERE p % 20 = 0),
+j AS (SELECT r.series_id, r.p, b.p AS base, row_number() OVER (PARTITION BY r.series_id, r.p ORDER BY abs(r.p - b.p), b.p) AS rn FROM r JOIN b ON r.series_id = b.series_id)
+SELECT series_id, base, round(avg(x), 6) AS change_point FROM (SELECT series_id, p AS base, p AS x FROM b UNION ALL SELECT series_id, base, p FROM j WHERE rn = 1) GROUP BY ALL""")
+def cp_synthesis(spark, d):
+    rows = win.with_position(series(spark, d))
+    cut = lambda k: rows.where(F.col("pos") % k == 0).select("series_id", F.col("pos").alias("s"))
+    return changepoints.synthesised(cut(13), cut(20))
+
+
+@query()
+def stream_clasp(spark, d):
+    return streaming.change_points(series(spark, d), n_timepoints=60, n_warmup=30, window_size=3, validation="score_threshold", threshold=0.6)
+
+
+@query(f"WITH {PTS}, p AS (SELECT series_id, t, power, row_number() OVER ({ORD}) - 1 AS pos FROM pts) SELECT a.series_id, a.pos, round(b.power, 6) AS power FROM (SELECT series_id, greatest(0, min(pos) FILTER (power > 300) - 10) AS s FROM p GROUP BY series_id HAVING count(*) FILTER (power > 300) > 0) x JOIN p a ON a.series_id = x.series_id AND a.pos BETWEEN x.s AND x.s + 19 JOIN p b ON b.series_id = a.series_id AND b.pos = a.pos")
+def anchored_slice(spark, d):
+    return readers.anchored_slice(series(spark, d), 300.0, 20).select("series_id", "pos", "power")
+
+
+@query("SELECT p_partkey AS series_id, CASE WHEN p_type LIKE '%STEEL%' THEN 4 WHEN p_name = 'goldenrod' THEN 5 WHEN p_brand = 'Brand#13' THEN 3 ELSE 0 END AS score FROM part")
+def meter_score(spark, d):
+    p = read(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("series_id"), readers.meter_score([(F.col("p_type").contains("STEEL"), 4), (F.col("p_name") == "goldenrod", 5), (F.col("p_brand") == "Brand#13", 3)]).alias("score"))
+
+
+@query(f"""WITH {EMB}, f AS (SELECT id, label, features, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM e), l AS (SELECT label, rn, unnest(range(len(features))) AS pos, unnest(features) AS value FROM f)
+SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(value), 6) AS value FROM l GROUP BY ALL""")
+def chart_centres(spark, d):
+    return charts.cluster_centres(primitives(spark, d).withColumnRenamed("features", "samples"))
+
+
+@query(f"WITH {EMB} SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM e) WHERE rn <= 5")
+def chart_stack(spark, d):
+    return charts.stacked(primitives(spark, d), 5).select("id", "label")
+
+
+@query(f"WITH {RLE}, c AS (SELECT activity_id, count(*) AS n_seg FROM e GROUP BY 1), r AS (SELECT activity_id, count(*) AS n_rle FROM rl GROUP BY 1) SELECT activity_id, n_seg - n_rle AS n_changed, n_rle, n_seg FROM c JOIN r USING (activity_id) ORDER BY n_changed DESC, n_rle DESC, n_seg DESC, activity_id LIMIT 5")
+def chart_showcase(spark, d):
+    p = primitives(spark, d)
+    return charts.showcase(p, clusters.label_runs(p), 5)
