@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of numbers between white space, time and power first; each file is a series."""
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.split(F.btrim("value", F.lit(" \t\r")), r"\s+")
     rows = spark.read.text(path).select(F.col(_FILE).alias("series_id"), parts.alias("p")).where("size(p) >= 2")
     return _numbered(rows.select("series_id", F.expr("try_cast(p[0] AS double)").alias("t"), F.expr("try_cast(p[1] AS double)").alias("power")).where("t is not null"))
 
@@ -85,7 +85,7 @@ def read_benchmark(spark: SparkSession, description: str, folder: str) -> DataFr
     """dataset, window_size, cps, series: lines `name,window,cp,...` and a file of numbers per name."""
     d = spark.read.text(description).select(F.split("value", ",").alias("p")).where("size(p) >= 2")
     d = d.select(F.col("p")[0].alias("dataset"), F.col("p")[1].cast("long").alias("window_size"), F.slice("p", 3, 100_000).cast("array<bigint>").alias("cps"))
-    files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_extract(F.col(_FILE), r"([^/]+)\.txt$", 1).alias("dataset"), F.split(F.trim("value"), r"\s+").cast("array<double>").alias("series"))
+    files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_extract(F.col(_FILE), r"([^/]+)\.txt$", 1).alias("dataset"), F.split(F.btrim("value", F.lit(" \t\r\n")), r"\s+").cast("array<double>").alias("series"))
     return d.join(files, "dataset")
 
 

@@ -1,0 +1,249 @@
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loadspan.operators import activity, blocks, clusters, intervals, mapping, resample, segmentation, split
+from loadspan.operators.autoencoder import dense_autoencoder
+from loadspan.plans.manifest import FeatureCache, RunManifest, Workflow, feature_key, parse_int_list, parse_steps, resolve_selection
+from loadspan.sources import readers, writers
+from loadspan.streaming import operators as streaming
+
+
+def series(spark, rows):
+    return spark.createDataFrame([(1, float(t), None if p is None else float(p), i) for i, (t, p) in enumerate(rows)], "series_id long, t double, power double, event_id long")
+
+
+def test_islands_are_closed_at_the_gap_and_the_least_duration(spark):
+    df = series(spark, [(0, 9), (150, 9), (301, 9), (451, float("nan")), (460, None), (600, 9), (700, 5)])
+    got = activity.intervals(df, 5.0, 150.0, 150.0).orderBy("start_t").collect()
+    assert [(r.activity_id, r.start_t, r.end_t, r.n_active) for r in got] == [(0, 0.0, 150.0, 2)]
+    assert activity.intervals(df, 5.0, 151.0, 0.0).count() == 2
+
+
+def test_context_is_clipped_at_the_ends(spark):
+    df = series(spark, [(i, 9 if 1 <= i <= 3 else 0) for i in range(6)])
+    got = activity.interval_points(df, 5.0, 1.0, 0.0, context=2).orderBy("pos").collect()
+    assert [r.t for r in got] == [0, 1, 2, 3, 4, 5]
+
+
+def test_detectors(spark):
+    rng = np.random.default_rng(0)
+    df = series(spark, [(i * 10, (100 if i % 50 < 20 or i % 50 == 35 else 1) + rng.random()) for i in range(400)])
+    d = activity.AdaptiveThreshold().train(df)
+    assert 1 < d.threshold < 100 and d.t_drop >= 10 and activity.DETECTORS["adaptive"] is activity.AdaptiveThreshold
+    assert d.detect(df).count() >= 1 and activity.SimpleThreshold().detect(df).count() == 8
+
+
+def test_resampling_of_gaps(spark):
+    df = series(spark, [(0, 0), (6, 6), (18, 18), (42, 42)])
+    dense = resample.densified(df, 6)
+    assert dense.count() == 8
+    full = {r.b: r.power for r in resample.interpolated(dense).collect()}
+    assert full[12] == 12.0 and full[30] == 30.0
+    kept = {r.b: r.power for r in resample.interpolated(dense, longest=12).collect()}
+    assert kept[12] == 12.0 and kept[30] is None
+    assert [r.power for r in resample.filled(dense).orderBy("b").collect()] == [0, 6, 6, 18, 18, 18, 18, 42]
+
+
+def test_intervals_of_equal_ends_and_swapped_ends(spark):
+    points = series(spark, [(t, 1) for t in range(10)])
+    spans = spark.createDataFrame([(1, 5.0, 3.0), (1, 5.0, 6.0), (1, 8.0, 8.0), (1, None, 9.0)], "series_id long, start_t double, end_t double")
+    got = {r.t for r in intervals.dropped(points, spans).where("drop").collect()}
+    assert got == {3, 4, 5, 6, 8}
+    assert intervals.dropped(points, spans.limit(0)).where("drop").count() == 0
+    assert intervals.merged(spans).count() == 2
+
+
+def test_knockout_and_alignment(spark):
+    branch, mains = series(spark, [(t, 100) for t in range(4)]), series(spark, [(t, 50 if t == 1 else 500) for t in range(4)])
+    both = intervals.aligned(branch, mains).withColumn("drop", F.col("t").isin(1.0, 2.0))
+    got = intervals.knocked_out(both).orderBy("t").collect()
+    assert [r.new_mains for r in got] == [500, 0, 400, 500] and [r.new_branch for r in got] == [100, 0, 0, 100]
+    assert intervals.knockout_quality(both).first().negative_before_clip == 1
+    with pytest.raises(Exception, match="differ"):
+        intervals.aligned(branch, series(spark, [(t + 1, 1) for t in range(4)])).collect()
+
+
+def primitives(spark, labels, length=30, centre=None):
+    rng = np.random.default_rng(0)
+    centre = centre or {0: 0.0, 1: 8.0, 2: -8.0}
+    rows = [(i, a, i * length, length, k, [centre[k] + float(x) for x in rng.normal(0, 0.01, 4)]) for i, (a, k) in enumerate(labels)]
+    return spark.createDataFrame(rows, "id long, activity_id long, start long, length long, label int, features array<double>")
+
+
+def test_state_merging(spark):
+    df = primitives(spark, [(0, 0), (0, 1), (0, 1), (0, 2)])
+    runs = blocks.merged_activities(df, least_length=15, similar=False).orderBy("block_id").collect()
+    assert [(r.label, r.n_segments) for r in runs] == [(0, 1), (1, 2), (2, 1)]
+    short = primitives(spark, [(1, 0), (1, 2), (1, 0), (1, 2), (1, 0)], length=10)
+    one = blocks.merged_activities(short, least_length=15).collect()
+    assert len(one) == 1 and one[0].n_segments == 5 and one[0].n_absorbed > 0
+    a, b = (blocks.Block(label=k, start=s, end=s + n, length=n, sums=np.zeros(4), members=m, absorbed=[], n_absorbed=0, similar=False) for k, s, n, m in ((0, 0, 30, [0]), (1, 30, 60, [1, 2])))
+    both = blocks.joined(a, b, 1, "short")
+    assert both["members"] == [0, 1, 2] and both["length"] == 90 and both["absorbed"] == [0] and both["n_absorbed"] == 1
+
+
+def test_long_short_long_leaves_two_blocks(spark):
+    df = primitives(spark, [(0, 0), (0, 1), (0, 0)]).withColumn("length", F.when(F.col("label") == 1, 5).otherwise(F.col("length")).cast("long"))
+    assert blocks.merged_activities(df, least_length=15).count() == 2
+
+
+def test_fewshot_and_artifacts(spark):
+    df = primitives(spark, [(0, 0)] * 9 + [(1, 1)] * 9 + [(1, 2)] * 2).withColumn("pos", F.col("id"))
+    small = clusters.fewshot(df)
+    assert [(r.label, r.n) for r in small.collect()] == [(2, 2)]
+    assert [r.artifact for r in clusters.artifact_report(df, small).collect()] == [False]
+    with pytest.raises(ValueError):
+        clusters.fewshot(df, amount=-1)
+    with pytest.raises(ValueError):
+        clusters.fewshot(df, "other")
+
+
+def test_mapping(spark):
+    prims = spark.createDataFrame([(0, 0, 0, 50), (1, 1, 50, 50)], "id long, activity_id long, start long, length long")
+    points = spark.range(100).select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("activity_id"), F.col("id").alias("pos"), (F.col("id") + 100.0).alias("t"))
+    got = {r.id: (r.start_t, r.end_t) for r in mapping.time_ranges(prims, points).collect()}
+    assert got == {0: (100.0, 149.0), 1: (150.0, 199.0)}
+    labels = spark.createDataFrame([(1, 2)], "id long, label int")
+    both = mapping.labelled(prims, labels)
+    assert {r.id: r.label for r in both.collect()} == {0: None, 1: 2}
+    acts = spark.createDataFrame([(0,), (1,)], "activity_id long")
+    few, rest = mapping.fewshot_activities(acts, both, labels.select("label"))
+    assert [r[0] for r in few.collect()] == [1] and [r[0] for r in rest.collect()] == [0]
+
+
+def test_split_counts_and_stream_of_random_numbers(spark):
+    assert [split.ratio_count(n, 0.5) for n in (1, 3, 5)] == [0, 2, 2] and split.ratio_count(4, 2.0) == 4
+    few, non = (spark.createDataFrame([(i,) for i in ids], "activity_id long") for ids in ((0, 1), (2, 3)))
+    got = split.assigned(spark, few, non, 0.5, 0.8).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in got} == {"few_train": 1, "few_test": 1, "non_train": 2}
+    a, b = (np.random.default_rng(42) for _ in range(2))
+    split.drawn([], 0.5, a)
+    assert a.random() == b.random()
+
+
+def test_segments_cover_activities(spark):
+    rows = [(1, 0, i, float(i % 7) + (50 if i > 60 else 0)) for i in range(140)]
+    points = spark.createDataFrame(rows, "series_id long, activity_id long, pos long, power double")
+    for method in (*segmentation.METHODS, "unknown"):
+        got = segmentation.segmented(points, method).orderBy("start").collect()
+        assert got[0].start == 0 and sum(r.length for r in got) == 140
+    assert max(r.length for r in segmentation.segmented(points, "none", cap=50).collect()) == 50
+    four = segmentation.channels(points).toPandas()
+    assert np.allclose(four["low"] + four["high"], four["cleaned"])
+
+
+def test_clusterings(spark):
+    rows = [(i, [float(i // 10 * 5 + i % 3 * 0.01)] * 4) for i in range(30)] + [(99, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    got = segmentation.clustered(df, "kmeans", [2, 3, 50], n_init=3).groupBy("tag").agg(F.count_distinct("label").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.tag: (r.k, r.n) for r in got} == {"kmeans_k2": (2, 30), "kmeans_k3": (3, 30)}
+    assert segmentation.scan(df, ks=[2, 3, 4]).orderBy("rank_sum", "k").first().k in (2, 3)
+    with pytest.raises(ValueError):
+        segmentation.clustered(df, "other")
+
+
+def test_features(spark):
+    df = spark.createDataFrame([(i, [float(j % (i + 2)) for j in range(20 + i)]) for i in range(12)], "id long, samples array<double>")
+    got = segmentation.dtw_features(df, 3).collect()
+    assert len(got) == 12 and all(len(r.features) == 3 for r in got) and next(r for r in got if r.id == 0).features[0] == 0
+    enc = dense_autoencoder(df, latent=4, epochs=3)
+    assert all(len(r.features) == 4 and np.isfinite(r.features).all() for r in enc.collect())
+
+
+def test_cache_key_and_store(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id long, features array<double>")
+    key = feature_key(df, "detsec", {"epochs": 50})
+    assert len(key) == 64 and key == feature_key(df.orderBy(F.desc("id")).repartition(3), "detsec", {"epochs": 50})
+    others = {feature_key(df, "dtw", {"epochs": 50}), feature_key(df, "detsec", {"epochs": 51}), feature_key(df.limit(1), "detsec", {"epochs": 50})}
+    assert key not in others and len(others) == 3
+    cache = FeatureCache(spark, str(tmp_path))
+    assert cache.load(key) is None
+    made, hit = cache.through(key, lambda: df)
+    assert not hit and made.count() == 2 and cache.through(key, lambda: 1 / 0)[1]
+
+
+def test_manifest_and_workflow(tmp_path):
+    m = RunManifest(str(tmp_path), "r1", "kettle")
+    flow = Workflow(m).add("a", lambda c, m: m.add_step("a", {"x": "a/x"}) or {"v": 1}).add("b", lambda c, m: {"w": c["v"] + 1})
+    assert flow.run() == {"v": 1, "w": 2}
+    m.add_cluster_result("kmeans_k3", {"labels": "l"})
+    assert m.resolve_tag() == "kmeans_k3"
+    m.add_cluster_result("kmeans_k3_merged", {"labels": "l"})
+    with pytest.raises(ValueError):
+        m.resolve_tag()
+    m.add_step("time_clustering")
+    m.save()
+    again = RunManifest(str(tmp_path), "r1")
+    assert again.artifact("a", "x").endswith("r1/a/x") and again.cluster_tags() == ["kmeans_k3", "kmeans_k3_merged"] and again.unmerged_tags() == ["kmeans_k3"]
+    assert again.artifact("none", "x") is None and json.loads(again.path.read_text())["appliance"] == "kettle"
+
+
+def test_selection():
+    assert parse_steps("") == parse_steps("all") and parse_steps("cluster,extract") == ["extract", "cluster"]
+    with pytest.raises(ValueError):
+        parse_steps("extract,nothing")
+    assert parse_int_list("3,4, 5") == [3, 4, 5]
+    assert resolve_selection({}, {})["n_clusters"] == [3, 4, 5]
+    assert resolve_selection({"cluster_method": "dbscan"}, {"cluster_method": "hdbscan"})["cluster_method"] == "dbscan"
+
+
+def test_readers_and_writers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,timestamp,power\n1,10,5\n2,20,NaN\n3,bad,1\n")
+    got = readers.read_csv(spark, str(tmp_path / "a.csv")).orderBy("t").collect()
+    assert [(r.t, r.power, r.event_id) for r in got] == [(10.0, 5.0, 0), (20.0, None, 1)]
+    (tmp_path / "b.dat").write_text("0 1.5\n  1   2.5 9\n\n")
+    assert readers.read_text(spark, str(tmp_path / "b.dat")).count() == 2
+    np.save(tmp_path / "c.npy", np.arange(8.0).reshape(4, 2))
+    assert readers.read_npy(spark, str(tmp_path / "c.npy")).count() == 4
+    b, m = readers.read_pair(spark, str(tmp_path / "c.npy"), str(tmp_path / "b.dat"))
+    assert (b.count(), m.count()) == (4, 2)
+    with pytest.raises(ValueError):
+        readers.read_pair(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.dat"))
+    (tmp_path / "tssb").mkdir()
+    (tmp_path / "desc.txt").write_text("One,10,5,9\n")
+    (tmp_path / "tssb" / "One.txt").write_text("1.0\n2.0\n3.5\n")
+    r = readers.read_benchmark(spark, str(tmp_path / "desc.txt"), str(tmp_path / "tssb")).first()
+    assert (r.dataset, r.window_size, r.cps, r.series) == ("One", 10, [5, 9], [1.0, 2.0, 3.5])
+    points = spark.createDataFrame([(1, 0, i, float(i), 2.0) for i in range(5)], "series_id long, activity_id long, pos long, t double, power double")
+    writers.write_activities(points, str(tmp_path / "acts"))
+    assert spark.read.parquet(str(tmp_path / "acts")).count() == 5
+    prims = spark.createDataFrame([(7, 0, 1, 3)], "id long, activity_id long, start long, length long")
+    out = writers.write_segments(prims, points.drop("series_id"), spark.createDataFrame([(7, 2)], "id long, label int"), str(tmp_path / "segs"))
+    assert out.first().label == 2 and spark.read.parquet(str(tmp_path / "segs")).count() == 3
+    writers.write_series(points, str(tmp_path / "csv"), 2)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
+
+
+def test_streams_give_what_tables_give(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(s, float(i), float(np.sin(i / (3 if i < 200 else 11)) + rng.normal() * 0.05), i) for s in (1, 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_id long, t double, power double, event_id long")
+    options = {"n_timepoints": 300, "n_warmup": 150, "window_size": 10, "threshold": 1e-8}
+    batch = {tuple(r) for r in streaming.change_points(df, **options).collect()}
+    assert batch
+    df.where("event_id < 230").coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    schema, sink = df.schema, []
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = streaming.change_points(stream, **options).writeStream.foreachBatch(lambda b, _: sink.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    df.where("event_id >= 230").coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    q.processAllAvailable()
+    q.stop()
+    assert set(sink) == batch
+
+
+def test_whole_pipeline(spark, tmp_path):
+    from loadspan.plans.pipeline import build
+
+    rng = np.random.default_rng(0)
+    rows = [(1, float(i * 6), float((100 if i % 100 < 60 else 0) + (80 if 20 < i % 100 < 40 else 0) + rng.random()), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "series_id long, t double, power double, event_id long").cache()
+    m = RunManifest(str(tmp_path), "r")
+    chosen = {"segment_method": "prim-glr", "feature_model": "dtw", "cluster_method": "kmeans", "n_clusters": [3]}
+    out = build(spark, m, parse_steps("all"), chosen, df).run()
+    assert out["activities"].count() == 15 and out["train"].count() == 1500 and m.cluster_tags() == ["kmeans_k3"]
+    again = build(spark, RunManifest(str(tmp_path), "r"), ["pam"], chosen, df).run()
+    assert again["few"].count() + again["others"].count() == 15
