@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 BATCH_BYTES = 3 << 20
-CACHE_CHUNKS = 250_000
 CACHE_CHARS = 64
 
 _SPACE = np.zeros(256, bool)
@@ -23,6 +22,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes below 0x80 that are certainly not white space to any of the libraries.
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = _SOLID & ~_ALNUM
@@ -87,11 +88,12 @@ class ChunkEncoder:
     """Ids of texts by way of their distinct chunks.
 
     encode: gives for a list of distinct strings their arrays of int32 ids. Short chunks are remembered for later batches of
-    the same worker process; the memory is emptied when it holds CACHE_CHUNKS.
+    the same worker process, in two generations: when the younger one holds `cache` chunks, of some 200 bytes each, the elder one is dropped.
+    bare: the encoder ignores the case of ASCII letters and white space before a word, so that chunks go without.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], cache: int = 120_000, bare: bool = False):
+        self.encode, self.cache, self.bare, self.known, self.elder = encode, cache, bare, {}, {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32), and the len + 1 offsets of each text's ids."""
@@ -100,14 +102,23 @@ class ChunkEncoder:
         n = len(bounds) - 1
         if n <= 0:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        if self.bare:
+            keep = np.ones(len(data), bool)
+            keep[bounds[:-1]] = ~_SPACE[data[bounds[:-1]]]
+            bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+            data = _LOWER[data[keep]]
         chunks = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data))
         coded = chunks.dictionary_encode()
         codes = np.asarray(coded.indices)
         words = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > self.cache:
+            self.elder, self.known = self.known, {}
+        known, elder = self.known, self.elder
         got = [known.get(w) for w in words]
+        if elder:
+            for i, x in enumerate(got):
+                if x is None and (x := elder.get(words[i])) is not None:
+                    got[i] = known[words[i]] = x
         new = [i for i, x in enumerate(got) if x is None]
         for i, ids in zip(new, self.encode([words[i] for i in new]) if new else [], strict=True):
             got[i] = ids.tobytes()

@@ -25,7 +25,8 @@ from loadspan.llm.tables import small_batches
 from loadspan.llm.wordpieces import chunk_encoder
 
 BLOCK_IDS = 1 << 20
-ROUNDS = 8
+#: Rounds of replacement end when one shortens the sequence by less than this share.
+LEAST_GAIN = 0.02
 LEAST_COUNT = 24
 _BUCKETS = 1 << 20
 
@@ -40,27 +41,31 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
     sequence = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
-    made = 0
-    for _ in range(ROUNDS):
+    made, before = 0, 0.0
+    while len(sequence) <= (1 - LEAST_GAIN) * (before or np.inf):
+        before = len(sequence)
         room = most_symbols - base - made
         if len(sequence) < 2 or room <= 0:
             break
         key = sequence[:-1] * (base + made) + sequence[1:]
         bucket = (key * 0x9E3779B1 >> 12) & (_BUCKETS - 1)
         often = np.bincount(bucket, minlength=_BUCKETS) >= LEAST_COUNT
-        found, counts = np.unique(key[often[bucket]], return_counts=True)
+        maybe = np.flatnonzero(often[bucket])
+        key_maybe = key[maybe]
+        found, counts = np.unique(key_maybe, return_counts=True)
         found, counts = found[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
         if not len(found):
             break
         best = np.sort(found[np.argsort(-counts, kind="stable")[: min(room, max(256, len(found) // 2))]])
-        place = np.searchsorted(best, key)
+        place = np.searchsorted(best, key_maybe)
         place[place == len(best)] = 0
-        at = np.flatnonzero(best[place] == key)
+        chosen = best[place] == key_maybe
+        at, place = maybe[chosen], place[chosen]
         # of pairs that overlap in a run, every other one is replaced, from the left
         fresh = np.concatenate([[True], np.diff(at) > 1])
         number = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[number % 2 == 0]
-        used, symbol = np.unique(place[at], return_inverse=True)
+        at, place = at[number % 2 == 0], place[number % 2 == 0]
+        used, symbol = np.unique(place, return_inverse=True)
         pairs = np.stack([best[used] // (base + made), best[used] % (base + made)], axis=1)
         sequence[at] = base + made + symbol
         keep = np.ones(len(sequence), bool)
