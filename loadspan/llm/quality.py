@@ -102,7 +102,9 @@ def expectation_maximisation(patterns: list[tuple[tuple, int]], rounds: int = 20
     ones, and a fault is always evidence against a document, so rules can't swap the two classes. Counts of one on
     either side keep each estimate inside (0, 1). Without patterns the start values are returned.
     """
-    n_rules = len(patterns[0][0]) if patterns else 0
+    if not patterns:
+        return prior, []
+    n_rules = len(patterns[0][0])
     rates = [START] * n_rules
     for _ in range(rounds):
         good = [1.0] * n_rules

@@ -25,7 +25,7 @@ from loadspan.llm.chunks import buffers, slices
 from loadspan.llm.crf import TokenField, marginals
 from loadspan.llm.tables import small_batches
 
-MAX_PER_CLASS = 2000
+MAX_PER_CLASS = 1500
 MAX_SENTENCES = 4000
 SPAN = 0.5
 _LEAST_DOCS, _LEAST_GAIN = 3.0, 20.0
