@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -130,6 +131,29 @@ def test_op2_fuzzy_lines_and_odd_rows(spark, odd_documents):
     assert lines.deduplicated(odd_documents.limit(0)).count() == 0
 
 
+def test_op2_short_and_unspaced_lines_meet(spark):
+    rng = random.Random(4)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = []
+    for _ in range(100):
+        cjk, url, few, tiny = han(60), "https://" + word(70), " ".join(word(6) for _ in range(8)), word(9)
+        pairs += [("cjk", cjk, han(1) + cjk[1:]), ("url", url, "http" + url[5:]), ("few", few, few[:-2] + "#" + few[-1]), ("few", few, word(3) + few[3:]), ("tiny", tiny, tiny[1:])]
+    assert all(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for _, a, b in pairs)
+    both = [(i, kind, x) for i, (kind, *ab) in enumerate(pairs) for x in ab]
+    met, all_of, bands = {}, {}, {}
+    for r in lines.with_bands(spark.createDataFrame(both, "i int, kind string, _line string")).collect():
+        bands.setdefault((r.i, r.kind), []).append(set(r._bands))
+    for (_, kind), (a, b) in bands.items():
+        all_of[kind] = all_of.get(kind, 0) + 1
+        met[kind] = met.get(kind, 0) + bool(a & b)
+    assert all(met[k] >= 0.93 * n for k, n in all_of.items()), met
+    # and from end to end
+    docs = [(2 * i + j, x) for i, (kind, *ab) in enumerate(pairs) if kind == "cjk" for j, x in enumerate(ab)]
+    kept = sum(r.n_kept for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert 100 <= kept <= 103
+
+
 def test_op10_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(0)
