@@ -15,6 +15,8 @@ BLOCK = {
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that a head can hold; any other opening tag ends an open head.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title", "head"}
 HOLDS = {"ul", "ol", "menu", "dl", "table", "select", "tbody", "thead", "tfoot"}
 # Words of class and id names, by what they tell.
 NAMES = {
@@ -44,6 +46,8 @@ class Page(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._leave_head(tag)
         if tag in BLOCK and tag != "hr" or tag in CLOSED_BY:
             self._imply(tag)
         number = len(self.tag)
@@ -62,6 +66,17 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag in SILENT:
+            self.handle_endtag(tag)
+
+    def _leave_head(self, tag: str) -> None:
+        """Closes a head whose end tag was left out: by body in any case, else unless an element inside it is open."""
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.tag[self.open[depth]] == "head":
+                self._pop(depth)
+                return
+            if tag != "body":
+                return
 
     def _imply(self, tag: str) -> None:
         """Closes what an opening tag closes: an open p by a block, and list items, cells and terms by their like."""

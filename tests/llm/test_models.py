@@ -151,6 +151,14 @@ def test_op6_pages(spark):
     assert len(got) == 5 and sorted(r.text for r in got)[:3] == ["", "", ""] and extraction.extracted(df.limit(0)).count() == 0
 
 
+def test_op6_open_head_and_self_closed_elements():
+    said = lambda html: " ".join("".join(t or " " for _, t in Page(html).pieces).split())
+    assert said("<html><head><title>T</title><meta charset=x><body><p>Words</p></body></html>") == "Words"
+    assert said("<html><head><link rel=x><script>var a</script><div>Words</div>") == "Words"
+    assert said("<head><title>T</title></head><body><p>One <svg/>two <iframe src=x />three</p>") == "One two three"
+    assert said("<p>One <svg><g/>no</svg>two</p>") == "One two"
+
+
 def test_op6_articles_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op6_tree_model(spark, SF).collect():
