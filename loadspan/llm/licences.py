@@ -101,16 +101,22 @@ class RareTokenIndex:
         found = []
         for number, at in votes.items():
             label, length, keys, weight, total = self.notices[number]
-            best = None
+            verified = []
             for start in at:
                 voters = set().union(*(at[s] for s in range(start - SLACK, start + SLACK + 1) if s in at))
                 first, last = max(0, start - SLACK), start + length + SLACK
                 inside = words[first:last]
-                if any(inside[i : i + len(k)] == k for k in keys for i in range(len(inside) - len(k) + 1)):
+                stand = {first + i for k in keys for i in range(len(inside) - len(k) + 1) if inside[i : i + len(k)] == k}
+                if stand:
                     score = sum(weight.get(q, 0) for q in voters) / total if total else 1.0
-                    best = max(best or (0.0, 0), (score, -max(0, start)))
-            if best:
-                found.append((label, -best[1], min(len(words), -best[1] + length), best[0]))
+                    verified.append((-score, max(0, start), stand))
+            # the best first; a further place has a key phrase of its own and overlaps no better one
+            kept, used = [], set()
+            for minus, start, stand in sorted(verified, key=lambda v: v[:2]):
+                if not stand <= used and all(abs(start - other) >= length for other in kept):
+                    kept.append(start)
+                    used |= stand
+                    found.append((label, start, min(len(words), start + length), -minus))
         return len(words), starts, sorted(labels), sorted(found)
 
 

@@ -125,6 +125,14 @@ def test_op8_notices(spark, odd_documents):
     assert licences.scan(odd_documents).count() == 8 and licences.scan(odd_documents.limit(0)).count() == 0
 
 
+def test_op8_every_place_of_a_notice():
+    index = licences.RareTokenIndex({}, 10)
+    notice = b"released under the mit license "
+    found = [f for f in index.scan(notice + b"x " * 40 + notice * 2 + b"y " * 40 + notice)[3] if f[0] == "mit"]
+    assert [f[1:3] for f in found] == [(0, 5), (45, 50), (50, 55), (95, 100)]
+    assert [f[1:3] for f in index.scan(notice)[3] if f[0] == "mit"] == [(0, 5)]
+
+
 def test_op6_marginals_by_enumeration():
     model = extraction.ContentModel()
     model.pair = [[0.4, -1.0], [-0.3, 0.8]]
