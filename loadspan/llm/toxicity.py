@@ -7,6 +7,7 @@ expected number of toxic tokens), by a logistic curve fitted to the same documen
 offending offsets. Language, source and key of a document play no part.
 
 Fitting reads a bounded sample: MAX_PER_CLASS labelled documents of either class, taken in the order of a hash.
+Of their sentences, MAX_SENTENCES with toxic tokens and as many without fit the field; the curve is fitted to all.
 """
 
 from __future__ import annotations
