@@ -14,8 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 CACHE_CHARS = 64
+#: A generation of remembered chunks, and what an entry takes beside its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
+CALL_CHUNKS = 8192
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -88,12 +91,19 @@ class ChunkEncoder:
     """Ids of texts by way of their distinct chunks.
 
     encode: gives for a list of distinct strings their arrays of int32 ids. Short chunks are remembered for later batches of
-    the same worker process, in two generations: when the younger one holds `cache` chunks, of some 200 bytes each, the elder one is dropped.
+    the same worker process, in two generations of about cache_bytes each: when the younger one is full, within a batch
+    too, the elder one is dropped.
     bare: the encoder ignores the case of ASCII letters and white space before a word, so that chunks go without.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], cache: int = 120_000, bare: bool = False):
-        self.encode, self.cache, self.bare, self.known, self.elder = encode, cache, bare, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], cache_bytes: int = CACHE_BYTES, bare: bool = False):
+        self.encode, self.cache_bytes, self.bare, self.known, self.elder, self.held = encode, cache_bytes, bare, {}, {}, 0
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+        if self.held > self.cache_bytes:
+            self.elder, self.known, self.held = self.known, {}, ENTRY_BYTES + len(word) + len(ids)
+        self.known[word] = ids
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32), and the len + 1 offsets of each text's ids."""
@@ -111,19 +121,20 @@ class ChunkEncoder:
         coded = chunks.dictionary_encode()
         codes = np.asarray(coded.indices)
         words = coded.dictionary.to_pylist()
-        if len(self.known) > self.cache:
-            self.elder, self.known = self.known, {}
         known, elder = self.known, self.elder
         got = [known.get(w) for w in words]
         if elder:
             for i, x in enumerate(got):
                 if x is None and (x := elder.get(words[i])) is not None:
-                    got[i] = known[words[i]] = x
+                    got[i] = x
+                    self._remember(words[i], x)
         new = [i for i, x in enumerate(got) if x is None]
-        for i, ids in zip(new, self.encode([words[i] for i in new]) if new else [], strict=True):
-            got[i] = ids.tobytes()
-            if len(words[i]) <= CACHE_CHARS:
-                known[words[i]] = got[i]
+        for a in range(0, len(new), CALL_CHUNKS):  # in parts, so that the arrays of many new chunks are not held at once
+            some = new[a : a + CALL_CHUNKS]
+            for i, ids in zip(some, self.encode([words[i] for i in some]), strict=True):
+                got[i] = ids.tobytes()
+                if len(words[i]) <= CACHE_CHARS:
+                    self._remember(words[i], got[i])
         sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
         flat = np.frombuffer(b"".join(got), np.int32)
         starts = np.cumsum(sizes) - sizes

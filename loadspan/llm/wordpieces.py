@@ -12,7 +12,6 @@ from loadspan.llm.chunks import ChunkEncoder
 
 #: Chunks that go to the library in one call, with a special token between them.
 CALL = 512
-CACHE = 600_000
 
 
 @lru_cache(maxsize=4)
@@ -49,4 +48,4 @@ def chunk_encoder(tokenizer_path: str) -> ChunkEncoder:
 
     steps = (json.loads(plain.to_str())["normalizer"] or {}).get("normalizers", [])
     lower = any(x["type"] == "Lowercase" for x in steps) and alone(" a").tolist() == alone("\na").tolist() == alone("a").tolist()
-    return ChunkEncoder(encode, CACHE, bare=lower)
+    return ChunkEncoder(encode, bare=lower)
