@@ -1,9 +1,10 @@
 """Embedding near-duplicates by spherical k-means cells (operator 10).
 
 Unit vectors are clustered on a bounded sample (SAMPLE vectors in the order of a hash; about the square root of the
-table's size in cells, centres closer than MERGE to one another being one). Every vector goes to its NEAR nearest
-cells and is compared within them by blocked products in double precision; a pair that meets in several cells counts
-in the first. Equal vectors are one member that counts for all of them. Cells of more than CUT members are cut, and
+table's size in cells). Every vector goes to its nearest cells and is compared within them by blocked products in double
+precision; a pair that meets in several cells counts in the first. How many cells is measured: the fewest, NEAR at
+least, with which QUERIES vectors of the sample meet RECALL of all their links in the sample, found by brute force; it
+may come to all cells, which is exact. Equal vectors are one member that counts for all of them. Cells of more than CUT members are cut, and
 each pair of cuts is a task of its own. Tasks return numbers of links and the links of a spanning forest, not pairs.
 """
 
@@ -18,17 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadspan.llm.components import connected_components
-from loadspan.llm.tables import written
+from loadspan.llm.tables import partitions, written
 
 SAMPLE = 20_000
 NEAR = 3
-MERGE = 0.8
+RECALL, QUERIES = 0.97, 1024
 CUT = 2048
 
 
-def _units(vectors: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of the rows that have a direction, which rows those are)."""
-    size = max((len(v) for v in vectors if v is not None), default=0)
+def _units(vectors: list | np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of the rows that have a direction, which rows those are); zeros fill them up to size at least."""
+    size = max((len(v) for v in vectors if v is not None), default=size)
     clean = np.zeros((len(vectors), size))
     ok = np.zeros(len(vectors), bool)
     for i, v in enumerate(vectors):
@@ -41,7 +42,7 @@ def _units(vectors: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """At most k unit centres; of centres within MERGE of one another, only the first stays."""
+    """At most k unit centres."""
     if not len(units):
         return units
     centres = units[np.linspace(0, len(units) - 1, min(k, len(units))).astype(int)]
@@ -51,11 +52,24 @@ def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         np.add.at(sums, of, units)
         norm = np.linalg.norm(sums, axis=1)
         centres = np.where(norm[:, None] > 1e-9, sums / np.maximum(norm, 1e-300)[:, None], centres)
-    kept: list[int] = []
-    for i in range(len(centres)):
-        if not kept or (centres[kept] @ centres[i]).max() < MERGE:
-            kept.append(i)
-    return centres[kept]
+    return centres
+
+
+def breadth(units: np.ndarray, centres: np.ndarray, threshold: float, least: int = NEAR) -> int:
+    """In how many nearest cells vectors must be for RECALL of the sample's links; least where it has none."""
+    least = min(least, len(centres))
+    at = np.unique(np.linspace(0, len(units) - 1, QUERIES).astype(int)) if len(units) else np.zeros(0, int)
+    pairs = [np.argwhere(units[a : a + 512] @ units[at].T >= threshold) + (a, 0) for a in range(0, len(units), 512)]
+    i, j = np.concatenate([*pairs, np.zeros((0, 2), int)]).T
+    i, j = i[i != at[j]], at[j[i != at[j]]]
+    if not len(i):
+        return least
+    some = np.linspace(0, len(i) - 1, min(len(i), 50_000)).astype(int)
+    i, j = i[some], j[some]
+    rank = np.argsort(np.argsort(-(units @ centres.T), axis=1, kind="stable"), axis=1).astype(np.int32)
+    # a pair meets in its first common cell: the least over cells of the worse of its two ranks
+    first = np.concatenate([np.maximum(rank[i[a : a + 4096]], rank[j[a : a + 4096]]).min(axis=1) for a in range(0, len(i), 4096)])
+    return max(least, int(np.sort(first)[int(np.ceil(RECALL * len(first))) - 1]) + 1)
 
 
 def _assigned(df: DataFrame, centres: np.ndarray, near: int) -> DataFrame:
@@ -63,10 +77,10 @@ def _assigned(df: DataFrame, centres: np.ndarray, near: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, ok = _units(batch.column("embedding").to_pylist())
+            units, ok = _units(batch.column("embedding").to_pylist(), centres.shape[1])
             if not ok.any():
                 continue
-            cells = np.argsort(-(units @ centres.T), axis=1, kind="stable")[:, :near].astype(np.int32)
+            cells = np.argsort(-(units[:, : centres.shape[1]] @ centres.T), axis=1, kind="stable")[:, :near].astype(np.int32)
             rows = batch.filter(pa.array(ok))
             listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.record_batch([rows.column("vec"), rows.column("weight"), listed(units), listed(cells)], names=["vec", "weight", "unit", "cells"])
@@ -115,14 +129,18 @@ def linked(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: s
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing and stay. Vectors
     of unequal lengths compare as if the shorter had zeros at its end. Equal vectors link with one another at every
-    threshold. kept: the row's key is the smallest of its component.
+    threshold. Every row gives one row, whether its key repeats or is null; a class of equal vectors goes by its
+    smallest key that is not null, and a component in which no row has a key has no component_id.
+    kept: the row's key is the smallest of its component.
     """
     spark = df.sparkSession
     rows = written(df.select(df[key].alias("key"), df[vector].cast("array<double>").alias("embedding")), "vectors")
-    usable = rows.where("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    sound = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    usable = rows.where(sound)
     # equal vectors meet by a hash of all components; the vector itself travels with its smallest key
     usable = usable.withColumn("code", F.sha2(F.array_join(F.transform("embedding", lambda x: F.hex(F.xxhash64(x + 0.0))), ""), 256))
-    classes = usable.groupBy("code").agg(F.min("key").alias("vec"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding"))
+    classes = usable.groupBy("code").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding"))
+    classes = classes.withColumn("vec", F.xxhash64("code"))  # keys may repeat or be null
     classes = written(classes, "classes")
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("code")).limit(SAMPLE).select("embedding").collect()
@@ -130,7 +148,7 @@ def linked(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: s
     centres = spherical_kmeans(units, max(1, int(np.sqrt(n))))
     found = spark.createDataFrame([], "vec long, links long, head long")
     if len(centres):
-        cells = _assigned(classes.select("vec", "weight", "embedding"), centres, min(near, len(centres)))
+        cells = _assigned(classes.select("vec", "weight", "embedding"), centres, breadth(units, centres, threshold, near))
         cells = written(cells.withColumn("cell", F.explode("cells")), "cells")
         # one row for each of at most sqrt(n) cells
         cuts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CUT).cast("int").alias("n_cuts"))
@@ -141,10 +159,12 @@ def linked(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: s
         found = written(pairs.groupBy("cell", "a", "b").applyInPandas(run, "vec long, links long, head long"), "links")
     components = connected_components(found.select("vec", "head"), "vec", "head")
     direct = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    of_class = classes.select("code", "vec", "weight").join(direct, "vec", "left").join(components.withColumnRenamed("node", "vec"), "vec", "left")
-    of_class = of_class.select("code", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
-    salted = usable.select("key", "code").withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(16)))
+    of_class = classes.select("code", "vec", "least", "weight").join(direct, "vec", "left").join(components.withColumnRenamed("node", "vec"), "vec", "left")
+    of_class = of_class.withColumn("component", F.coalesce("component", "vec"))
+    ids_of = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(ids_of, "component").select("code", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    salted = usable.select("key", "code").withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(max(16, partitions(spark)))))
     parts = salted.select("code", "_salt").distinct().join(of_class, "code")
     ids = salted.join(parts, ["code", "_salt"]).select("key", "n_links", "component_id")
-    rest = rows.select("key").join(ids.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
-    return ids.unionByName(rest).select(F.col("key").alias(key), "n_links", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+    rest = rows.where(~F.coalesce(sound, F.lit(False))).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return ids.unionByName(rest).select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -212,6 +212,25 @@ def test_op10_against_brute_force(spark):
     assert sum(got[k].component_id == least[u.find(i)] for i, k in enumerate(ids.tolist())) >= 0.99 * len(ids)
 
 
+def test_op10_keys_that_repeat_or_are_null(spark):
+    v, u = [1.0, 0.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(None, v), (1, v), (1, None), (2, v), (1, u), (3, u), (None, None)], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vectors.linked(df).collect())
+    assert got == [(0, 0, 0, False), (0, 2, 1, False), (1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
+def test_op10_recall_on_anisotropic_vectors():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 64)) / 8 * np.sqrt(0.17) + np.r_[np.sqrt(0.83), np.zeros(63)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centres = vectors.spherical_kmeans(x, 63)
+    near = vectors.breadth(x, centres, 0.9)
+    cells = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :near]
+    i, j = np.nonzero(np.triu(x[:1500] @ x[:1500].T >= 0.9, 1))
+    met = (cells[i][:, :, None] == cells[j][:, None, :]).any(axis=(1, 2))
+    assert len(centres) == 63 and len(i) > 100 and met.mean() >= 0.95 and vectors.breadth(x[:0], centres, 0.9) == 3
+
+
 def test_op10_cuts_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CUT", 7)
     rows = [(i, [1.0, i * 1e-4, 0.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, []), (105, [0.0, 0.0, 5.0]), (106, [0.0, 0.0, 5.0])]
