@@ -90,3 +90,8 @@ def forward_durations(df: DataFrame, **by) -> DataFrame:
 def neighbour_labels(df: DataFrame, label: str = "label", series=("activity_id",), order=("pos",)) -> DataFrame:
     w = ordered(series, order)
     return df.withColumns({"prev_label": F.lag(label).over(w), "next_label": F.lead(label).over(w)})
+
+
+def rolled(value: str, fill: float = 0.0) -> Column:
+    """The next row's value; fill for a series' last row (a buffer shifted left by one)."""
+    return F.coalesce(F.lead(value).over(ordered()), F.when(F.lead(F.lit(1)).over(ordered()).isNull(), F.lit(fill)))

@@ -135,33 +135,37 @@ def peaks(curve: np.ndarray, alpha: float = 0.8, gap: int = 25, reach: int = 2)
 
 
 def _two_levels(x: np.ndarray) -> tuple[float, float]:
-    lo, hi = float(x.min()), float(x.max())
+    """Means of the lower and the upper values, from the quartiles on, until they stand or one side is empty."""
+    levels = np.quantile(x, [0.25, 0.75])
     for _ in range(20):
-        up = np.abs(x - hi) < np.abs(x - lo)
-        new = (x[~up].mean() if (~up).any() else lo, x[up].mean() if up.any() else hi)
-        if np.allclose(new, (lo, hi)):
+        up = np.abs(x - levels[1]) < np.abs(x - levels[0])
+        if up.all() or not up.any():
             break
-        lo, hi = new
-    return lo, hi
+        before, levels = levels, np.array([x[~up].mean(), x[up].mean()])
+        if np.abs(levels - before).max() < 1e-9:
+            break
+    return float(levels[0]), float(levels[1])
 
 
 def descriptor(x: np.ndarray) -> np.ndarray:
-    """34 numbers of one segment: six statistics, its shape in 16 and 8 parts, and its two levels."""
+    """34 numbers of one segment: six statistics of its level, its shape in 16 parts, the share of time and of steps
+    between its two levels and the levels themselves, and its shape in 8 parts."""
     lo, hi = _two_levels(x)
     on = np.abs(x - hi) < np.abs(x - lo)
-    slope = np.polyfit(np.arange(len(x)), x, 1)[0] if len(x) > 1 else 0.0
-    stats = [x.mean(), x.std(), x.min(), x.max(), slope, float(len(x))]
-    return np.concatenate([stats, paa(x, 16), [on.mean(), np.abs(np.diff(on.astype(int))).sum() / len(x), hi, lo], paa(x, 8)])
+    tenth, median, ninth = np.quantile(x, [0.1, 0.5, 0.9])
+    switches = float((on[1:] != on[:-1]).mean()) if len(x) > 1 else 0.0
+    return np.concatenate([[x.mean(), x.std(), median, ninth - tenth, x.min(), x.max()], paa(x, 16), [on.mean(), switches, hi, lo], paa(x, 8)])
 
 
 def viterbi(z: np.ndarray, lengths: np.ndarray, start: np.ndarray, n_states: int, sigma: float = 0.35, bonus: float = 2.0) -> np.ndarray:
-    """Best states of segments: diagonal Gaussian emissions and log-normal lengths of the starting labels' groups."""
+    """Best states of segments: squared distances scaled by variances, and log-normal lengths, of the starting labels'
+    groups; a state without segments has those of all."""
     log_len = np.log(np.maximum(lengths, 1))
-    score = np.full((len(z), n_states), -np.inf)
+    score = np.empty((len(z), n_states))
     for c in range(n_states):
-        if (start == c).any():
-            mean, var = z[start == c].mean(0), z[start == c].var(0) + 1e-3
-            score[:, c] = -0.5 * ((z - mean) ** 2 / var + np.log(var)).sum(1) - 0.5 * ((log_len - log_len[start == c].mean()) / sigma) ** 2 - log_len
+        own = start == c if (start == c).any() else np.ones(len(z), bool)
+        mean, var = z[own].mean(0), z[own].var(0) + 1e-6
+        score[:, c] = -0.5 * ((z - mean) ** 2 / var).sum(1) - 0.5 * ((log_len - log_len[own].mean()) / sigma) ** 2 - log_len
     dp, back = score[:1].copy(), []
     for m in range(1, len(z)):
         step = dp[-1][:, None] + bonus * np.eye(n_states)
@@ -191,5 +195,5 @@ def prim_glr(x: np.ndarray, alpha: float = 0.8, gap: int = 25) -> list[int]:
     z = (phi - phi.mean(0)) / np.where(std == 0, 1.0, std)
     states = min(6, max(2, len(parts) // 2))
     label, _, _ = lloyd_best(z, min(states, len(parts)), n_init=10, seed=0)
-    label = viterbi(z, np.array([b - a for a, b in parts]), label, states)
+    label = viterbi(z, np.array([b - a for a, b in parts]), label, int(label.max()) + 1)
     return [parts[i][0] for i in range(1, len(parts)) if label[i] != label[i - 1]]

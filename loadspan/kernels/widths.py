@@ -2,45 +2,48 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import lru_cache
+from itertools import count
+
 import numpy as np
 
 from loadspan.kernels.selfsim import windows
 
 
 def suss(x: np.ndarray, least: int = 10, threshold: float = 0.89) -> int:
-    """Twice the smallest width whose rolling mean, deviation and range are like the whole series' (summary statistics)."""
+    """Twice the smallest width whose windows resemble the whole series (summary statistics subsequences).
+
+    A width's likeness is the distance of its windows' mean, deviation and range from the series', over the root of the
+    width, scaled so that width 1 has 0 and the widest has 1. Widths are bracketed by powers of two, then bisected.
+    """
     n = len(x)
-    if n < 2 * least + 2:
+    if n < least:
         return n
-    if x.max() == x.min():
+    x = np.asarray(x, float) - x.min()
+    if not x.max():
         return least
-    x = (x - x.min()) / (x.max() - x.min())
-    whole = np.array([x.mean(), x.std(), x.max() - x.min()])
+    x /= x.max()
 
-    def unlike(w: int) -> float:
-        v = windows(x, w)[1:]
-        stats = np.stack([v.mean(1), v.std(1), v.max(1) - v.min(1)], axis=1) - whole
-        return float(np.mean(np.sqrt((stats**2).sum(1))) / np.sqrt(w))
+    @lru_cache(maxsize=None)
+    def distance(width: int) -> float:
+        v = windows(x, width)[1:]
+        gaps = (v.mean(1) - x.mean(), v.std(1) - x.std(), np.ptp(v, axis=1) - 1.0)
+        return float(np.linalg.norm(gaps, axis=0).mean() / np.sqrt(width))
 
-    top, bottom = unlike(1), unlike(n - 1)
-    like = lambda w: 1 - (unlike(w) - bottom) / (top - bottom) > threshold
-    power = 0
-    while 1 << power < least or 1 << power < n and not like(1 << power):
-        power += 1
-    lo, hi = max(least, 1 << max(0, power - 1)), min((1 << power) + 1, n - 1)
-    while lo <= hi:
-        middle = (lo + hi) // 2
-        if middle >= n or like(middle):
-            hi = middle - 1
-        else:
-            lo = middle + 1
-    return 2 * lo
+    far, near = distance(1), distance(n - 1)
+    if far == near:
+        return least
+    alike = lambda width: width >= n - 1 or (far - distance(width)) / (far - near) >= threshold
+    bracket = next(w for w in (1 << p for p in count()) if w >= least and alike(w))
+    widths = range(max(least, bracket // 2), bracket + 2)
+    return 2 * (widths.start + bisect_left(widths, True, key=alike))
 
 
 def dominant_fourier_frequency(x: np.ndarray, least: int = 10, most: int = 1000) -> int:
-    """The period of the strongest Fourier component from least to most."""
+    """The period of the strongest Fourier component from least to most; a series of under 2 * least points has its length."""
     n = len(x)
-    if n < least:
+    if n < 2 * least:
         return n
     size = np.abs(np.fft.rfft(x))
     periods = n / np.maximum(np.arange(len(size)), 1e-9)

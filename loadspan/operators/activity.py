@@ -26,10 +26,16 @@ def islands(df: DataFrame, threshold: float, t_drop: float, strict: bool = False
     return rows.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(w) - 1).drop("_fresh")
 
 
-def intervals(df: DataFrame, threshold: float, t_drop: float, t_min: float) -> DataFrame:
-    """series_id, activity_id (from 0 in order of time), start_t, end_t, duration_sec, n_active: islands of at least t_min."""
-    spans = islands(df, threshold, t_drop).groupBy("series_id", "island").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count(F.lit(1)).alias("n_active"))
-    spans = spans.withColumn("duration_sec", F.col("end_t") - F.col("start_t")).where(F.col("duration_sec") >= t_min)
+def _least(t_min: float | Column) -> Column:
+    return F.max(t_min if isinstance(t_min, Column) else F.lit(t_min)).alias("_least")
+
+
+def intervals(df: DataFrame, threshold: float | Column, t_drop: float | Column, t_min: float | Column) -> DataFrame:
+    """series_id, activity_id (from 0 in order of time), start_t, end_t, duration_sec, n_active: islands of at least t_min.
+
+    Parameters are numbers, or columns of df that are constant within a series."""
+    spans = islands(df, threshold, t_drop).groupBy("series_id", "island").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count(F.lit(1)).alias("n_active"), _least(t_min))
+    spans = spans.withColumn("duration_sec", F.col("end_t") - F.col("start_t")).where(F.col("duration_sec") >= F.col("_least"))
     number = F.row_number().over(Window.partitionBy("series_id").orderBy("start_t")) - 1
     return spans.select("series_id", number.alias("activity_id"), "start_t", "end_t", "duration_sec", "n_active")
 
@@ -41,8 +47,8 @@ def interval_points(df: DataFrame, threshold: float, t_drop: float, t_min: float
     """
     rows = with_position(df, name="_at")
     last = rows.groupBy("series_id").agg(F.max("_at").alias("_last"))
-    spans = islands(rows, threshold, t_drop).groupBy("series_id", "island").agg(F.min("_at").alias("a"), F.max("_at").alias("b"), F.min("t").alias("start_t"), F.max("t").alias("end_t"))
-    spans = spans.where(F.col("end_t") - F.col("start_t") >= t_min).join(last, "series_id")
+    spans = islands(rows, threshold, t_drop).groupBy("series_id", "island").agg(F.min("_at").alias("a"), F.max("_at").alias("b"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), _least(t_min))
+    spans = spans.where(F.col("end_t") - F.col("start_t") >= F.col("_least")).join(last, "series_id")
     number = F.row_number().over(Window.partitionBy("series_id").orderBy("start_t")) - 1
     first, stop = F.greatest(F.col("a") - context, F.lit(0)), F.least(F.col("b") + context, F.col("_last"))
     wanted = spans.withColumn("activity_id", number).select("series_id", "activity_id", F.posexplode(F.sequence(first, stop)).alias("pos", "_at"))
@@ -144,18 +150,39 @@ class SimpleThreshold:
 
 
 class AdaptiveThreshold(SimpleThreshold):
-    """Detector that learns what it is not given (None, or a threshold of 0) from one series."""
+    """Detector that learns what it is not given (None, or a threshold of 0) for each series by itself.
+
+    threshold, t_drop and t_min_work hold the least threshold and the longest times, for series that were not learned from.
+    """
+
+    learned: DataFrame | None = None
 
     def __init__(self, threshold: float | None = None, t_drop: float | None = None, t_min_work: float | None = None, **rest):
         super().__init__(threshold or 0.0, t_drop or 0.0, t_min_work or 0.0, **rest)
 
     def train(self, df: DataFrame) -> AdaptiveThreshold:
-        if not self.threshold and (row := otsu_threshold(df).agg(F.min("threshold")).first())[0] is not None:
-            self.threshold = row[0]
-        if not (self.t_drop and self.t_min_work):
-            row = time_parameters(df, self.threshold).agg(F.max("t_drop"), F.max("t_min_work")).first()
-            self.t_drop, self.t_min_work = self.t_drop or row[0] or 15.0, self.t_min_work or row[1] or 30.0
+        given = (self.threshold, self.t_drop, self.t_min_work)
+        of = df.select("series_id").distinct()
+        cuts = of.join(otsu_threshold(df), "series_id", "left") if not given[0] else of.withColumn("threshold", F.lit(given[0]))
+        rows = df.join(cuts.select("series_id", F.coalesce("threshold", F.lit(0.0)).alias("_threshold")), "series_id")
+        times = time_parameters(rows, F.col("_threshold"))
+        pick = lambda x, learned, least: F.lit(x) if x else F.coalesce(learned, F.lit(least))
+        found = cuts.join(times, "series_id", "left").select("series_id", F.coalesce("threshold", F.lit(0.0)).alias("_threshold"), pick(given[1], "t_drop", 15.0).alias("_t_drop"), pick(given[2], "t_min_work", 30.0).alias("_t_min"))
+        self.learned = found  # one row a series
+        least = found.agg(F.min("_threshold"), F.max("_t_drop"), F.max("_t_min")).first()
+        self.threshold, self.t_drop, self.t_min_work = least[0] or 0.0, least[1] or 15.0, least[2] or 30.0
         return self
 
+    def _parameters(self, df: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+        rows = df.join(self.learned, "series_id", "left")
+        filled = [F.coalesce(F.col(c), F.lit(x)) for c, x in (("_threshold", self.threshold), ("_t_drop", self.t_drop), ("_t_min", self.t_min_work))]
+        return rows, *filled
+
+    def detect(self, df: DataFrame) -> DataFrame:
+        return intervals(*self._parameters(df)) if self.learned is not None else super().detect(df)
+
+    def points(self, df: DataFrame) -> DataFrame:
+        return interval_points(*self._parameters(df), self.context) if self.learned is not None else super().points(df)
+
 
 DETECTORS = {"simple": SimpleThreshold, "adaptive": AdaptiveThreshold}

@@ -20,6 +20,11 @@ def stacked(df: DataFrame, n: int = 50) -> DataFrame:
     return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
+def sampled(df: DataFrame, n: int = 200, seed: int = 42, key: str = "id") -> DataFrame:
+    """n rows without replacement, the same for the same seed whatever the partitioning (a row's place is a hash of its key)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
 def showcase(primitives: DataFrame, runs: DataFrame, n: int = 10) -> DataFrame:
     """activity_id, n_changed, n_rle, n_seg of the n activities that merging changes most."""
     segments = primitives.groupBy("activity_id").agg(F.count(F.lit(1)).alias("n_seg"))

@@ -211,3 +211,45 @@ def run_features(df: DataFrame, runs: DataFrame, weight: str = "length") -> Data
 
 def state_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("label").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_segments").alias("n_segments"))
+
+
+def merged_summary(blocks: DataFrame, seconds_per_sample: float = 6.0) -> DataFrame:
+    """label, n_blocks, n_segments, n_samples, seconds, absorbed_labels (distinct, sorted) of merged blocks."""
+    absorbed = F.array_sort(F.array_distinct(F.flatten(F.collect_list("absorbed_labels"))))
+    rows = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_segments").alias("n_segments"), F.sum("length").alias("n_samples"), absorbed.alias("absorbed_labels"))
+    return rows.withColumn("seconds", F.col("n_samples") * seconds_per_sample)
+
+
+def merge_metrics(runs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row: segments, blocks before and after merging, their ratio (4 digits), segments absorbed, blocks of similar neighbours."""
+    before = runs.agg(F.sum("n_segments").alias("n_segments"), F.count(F.lit(1)).alias("n_blocks_before"))
+    after = blocks.agg(F.count(F.lit(1)).alias("n_blocks_after"), F.sum("n_absorbed").alias("n_absorbed"), F.count_if("similar_merged").alias("n_similar_merges"))
+    ratio = F.round(F.col("n_blocks_after") / F.greatest(F.col("n_blocks_before"), F.lit(1)), 4)
+    return before.join(after, F.lit(True)).withColumn("merge_ratio", ratio)  # one row each
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """label, n: clusters from small to large, equal ones by label."""
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "label")
+
+
+def common_cycles(a: DataFrame, b: DataFrame, key: str = "activity_id") -> DataFrame:
+    """Keys that both tables have, each once."""
+    return a.select(key).distinct().join(b.select(key).distinct(), key)
+
+
+def training_ids(df: DataFrame, held_back: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key is not among those held back."""
+    return df.join(held_back.select(key), key, "left_anti")
+
+
+def explained_variance(features: DataFrame, k: int = 6) -> DataFrame:
+    """component (from 1), ratio: shares of variance of at most k principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    first = features.select(F.size("features").alias("n")).first()
+    if first is None:
+        return features.sparkSession.createDataFrame([], "component int, ratio double")
+    model = PCA(k=min(k, first.n), inputCol="v", outputCol="p").fit(features.select(array_to_vector("features").alias("v")))
+    return features.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(model.explainedVariance)], "component int, ratio double")

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from loadspan.functions import windows as win
 from loadspan.operators import activity, blocks, changepoints, charts, clusters, intervals, mapping, pairwise, resample, segmentation
 from loadspan.plans.tables import daily, primitives, read, series
-from loadspan.sources import readers
+from loadspan.sources import readers, writers
 from loadspan.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,19 @@ def gap_two_means(spark, d):
     return found.select("series_id", "n", *[F.round(c, 5).alias(c) for c in ("low_max", "low_mean", "high_mean")])
 
 
-@query()
+def _lower_class(name: str, source: str, value: str) -> str:
+    """SQL of a relation (series_id, low): the greatest value of the lower of two classes of least squares."""
+    return f"""{name}_c AS (SELECT series_id, {value} AS g, count(*) OVER w AS k, sum({value}) OVER w AS s, count(*) OVER p AS nn, sum({value}) OVER p AS ss FROM {source}
+      WINDOW w AS (PARTITION BY series_id ORDER BY {value} ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY series_id)),
+{name} AS (SELECT series_id, g AS low FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(s * s / k + (ss - s) ** 2 / (nn - k), 9) DESC, k) AS rn FROM {name}_c WHERE nn > k) WHERE rn = 1)"""
+
+
+@query(f"""WITH {GAPS}, gx AS (SELECT series_id, ln(1 + gap) AS v FROM ga WHERE gap IS NOT NULL), {_lower_class("short", "gx", "v")},
+na AS (SELECT series_id, count(*) AS n FROM pts WHERE power > {THRESHOLD} GROUP BY 1),
+dr AS (SELECT na.series_id, n, CASE WHEN n < 5 THEN 15.0 ELSE coalesce(1.2 * (exp(low) - 1), 15.0) END AS t_drop FROM na LEFT JOIN short USING (series_id)),
+fr AS (SELECT series_id, t, event_id, t_drop, CASE WHEN t - lag(t) OVER ({ORD}) <= t_drop THEN 0 ELSE 1 END AS f FROM pts JOIN dr USING (series_id) WHERE power > {THRESHOLD}),
+il AS (SELECT *, sum(f) OVER ({ORD}) AS island FROM fr), sp AS (SELECT series_id, ln(1 + max(t) - min(t)) AS v FROM il GROUP BY series_id, island), {_lower_class("noise", "sp", "v")}
+SELECT dr.series_id, round(t_drop, 6) AS t_drop, round(CASE WHEN n < 5 THEN 30.0 ELSE coalesce(exp(low), 30.0) END, 6) AS t_min_work FROM dr LEFT JOIN noise ON noise.series_id = dr.series_id""")
 def learned_time_parameters(spark, d):
     return activity.time_parameters(series(spark, d), THRESHOLD)
 
@@ -513,6 +525,101 @@ def split_datasets_union(spark, d):
     return one("train", "test").unionByName(one("test", "train"))
 
 
+# ---- small relations ----
+
+
+@query(f"WITH {EMB} SELECT label, count(*) AS n FROM e GROUP BY label")
+def clusters_by_size(spark, d):
+    return clusters.by_size(primitives(spark, d))
+
+
+@query("SELECT DISTINCT user_id AS series_id FROM events WHERE value >= 300 INTERSECT SELECT DISTINCT user_id FROM events WHERE value < 20")
+def common_cycles(spark, d):
+    p = series(spark, d)
+    return clusters.common_cycles(p.where("power >= 300"), p.where("power < 20"), "series_id")
+
+
+@query(f"WITH {EMB} SELECT id, label FROM e WHERE id % 5 <> 0")
+def training_ids(spark, d):
+    p = primitives(spark, d).select("id", "label")
+    return clusters.training_ids(p, p.where("id % 5 = 0"))
+
+
+@query(f"WITH {PTS} SELECT series_id, event_id, round(coalesce(lead(power) OVER ({ORD}), 0), 6) AS rolled FROM pts")
+def rolled_power(spark, d):
+    return series(spark, d).withColumn("rolled", win.rolled("power")).select("series_id", "event_id", "rolled")
+
+
+BROKEN = "b AS (SELECT id, list_transform(features, lambda x: CASE WHEN id % 7 = 0 AND x > 0 THEN NULL ELSE x END) AS features FROM e)"
+
+
+def _broken(spark, d):
+    return primitives(spark, d).select("id", F.transform("features", lambda x: F.when((F.col("id") % 7 == 0) & (x > 0), float("nan")).otherwise(x)).alias("features"))
+
+
+@query(f"WITH {EMB}, {BROKEN} SELECT id FROM b WHERE len(list_filter(features, lambda x: x IS NULL)) = 0")
+def finite_rows(spark, d):
+    return clusters.finite_rows(_broken(spark, d)).select("id")
+
+
+@query(f"WITH {EMB}, {BROKEN} SELECT id, round(list_sum(list_transform(features, lambda x: coalesce(x, 0))), 6) AS total FROM b")
+def nan_to_zero(spark, d):
+    return clusters.nan_to_zero(_broken(spark, d)).select("id", F.aggregate("features", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query(f"WITH {EMB} SELECT id, activity_id, pos FROM e WHERE activity_id % 3 = 0")
+def primitives_in_activities(spark, d):
+    p = primitives(spark, d)
+    known = p.where("activity_id % 3 = 0").select("activity_id").distinct()
+    return mapping.in_activities(p, known).select("id", "activity_id", F.col("pos").cast("long").alias("pos"))
+
+
+def _cut_points(spark, d):
+    return win.with_position(series(spark, d)).withColumn("activity_id", F.col("series_id"))
+
+
+@query(f"WITH {PTS}, n AS (SELECT series_id, row_number() OVER ({ORD}) - 1 AS pos FROM pts) SELECT series_id, pos, pos > 0 AND pos % 9 = 0 AS boundary FROM n")
+def chart_boundaries(spark, d):
+    points = _cut_points(spark, d)
+    cuts = points.where("pos % 9 = 0").select("series_id", "activity_id", F.col("pos").alias("start"))
+    return charts.boundaries(cuts, points).select("series_id", F.col("pos").cast("long").alias("pos"), "boundary")
+
+
+@query(f"WITH {PTS}, n AS (SELECT series_id, power, row_number() OVER ({ORD}) - 1 AS pos FROM pts) SELECT series_id AS activity_id, pos, round(CAST(CAST(power AS FLOAT) AS DOUBLE), 4) AS raw FROM n")
+def chart_reconstruction(spark, d):
+    points = _cut_points(spark, d).withColumn("raw", F.col("power"))
+    cuts = points.where("pos % 9 = 0").select("activity_id", F.col("pos").alias("start"), (F.col("activity_id") * 1000 + F.col("pos")).alias("id"))
+    last = points.groupBy("activity_id").agg((F.max("pos") + 1).alias("n"))
+    primitives_ = cuts.join(last, "activity_id").select("id", "activity_id", "start", F.least(F.lit(9), F.col("n") - F.col("start")).alias("length"))
+    made = mapping.channels(primitives_, points, names=("raw",)).join(primitives_.select("id", "activity_id", "start"), "id")
+    return charts.reconstructed(made).select("activity_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("raw").cast("double"), 4).alias("raw"))
+
+
+@query(f"WITH {RLE} SELECT activity_id, label, CAST(pos AS BIGINT) AS start, CAST(pos + 1 AS BIGINT) AS stop FROM e")
+def chart_label_spans(spark, d):
+    return charts.label_spans(primitives(spark, d).withColumns({"start": F.col("pos").cast("long"), "length": F.lit(1)}))
+
+
+@query(f"""WITH {PTS}, n AS (SELECT *, row_number() OVER ({ORD}) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM pts), m AS (SELECT max(n) AS most FROM n)
+SELECT series_id AS id, n AS length, m.most AS padded, round(total, 2) AS total FROM (SELECT series_id, max(n) AS n, sum(CAST(CAST(power AS FLOAT) AS DOUBLE)) AS total FROM n GROUP BY 1), m""")
+def padded_tensor(spark, d):
+    points = _cut_points(spark, d).withColumn("raw", F.col("power"))
+    whole = points.groupBy("activity_id").agg(F.count(F.lit(1)).alias("length")).select(F.col("activity_id").alias("id"), "activity_id", F.lit(0).cast("long").alias("start"), "length")
+    made = mapping.padded(mapping.channels(whole, points, names=("raw",)))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x["raw"].cast("double"))
+    return made.select("id", F.col("length").cast("long").alias("length"), F.size("samples").cast("long").alias("padded"), F.round(total, 2).alias("total"))
+
+
+@query(f"WITH {PTS}, n AS (SELECT *, row_number() OVER ({ORD}) - 1 AS pos FROM pts) SELECT series_id AS activity_id, pos, round(t, 6) AS t, round(power, 6) AS power FROM n")
+def activity_tensor(spark, d):
+    return mapping.activity_tensor(_cut_points(spark, d)).select("activity_id", F.posexplode("samples").alias("pos", "s")).select("activity_id", F.col("pos").cast("long").alias("pos"), "s.t", "s.power")
+
+
+@query(f"""WITH {ISL} SELECT series_id, activity_id, concat_ws('_', 'activity', activity_id, strftime(to_timestamp(start_t) AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S'), strftime(to_timestamp(end_t) AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S'), CAST(floor(duration_sec) AS BIGINT)) AS name FROM iv""")
+def activity_names(spark, d):
+    return writers.activity_names(activity.interval_points(series(spark, d), THRESHOLD, GAP, LEAST, context=0))
+
+
 # ---- sequential operators: no SQL; tests hold them against small cases ----
 
 
@@ -571,7 +678,46 @@ def clasp_profile(spark, d):
 
 @query()
 def kmeans_all_k(spark, d):
-    return segmentation.clustered(primitives(spark, d), "kmeans", n_init=10)
+    return segmentation.clustered(primitives(spark, d), "kmeans")
+
+
+@query()
+def kmeans_recommended(spark, d):
+    return segmentation.recommended(segmentation.scan(primitives(spark, d)))
+
+
+@query()
+def feature_comparison(spark, d):
+    p = primitives(spark, d)
+    return segmentation.comparison({"raw": p, "zscored": clusters.zscored(p)}, ks=(3, 5))
+
+
+@query()
+def explained_variance(spark, d):
+    return clusters.explained_variance(primitives(spark, d))
+
+
+@query()
+def merge_metrics(spark, d):
+    p = primitives(spark, d)
+    return clusters.merge_metrics(clusters.label_runs(p), blocks.merged_activities(p, least_length=15.0, tolerance=1.2))
+
+
+@query()
+def merged_summary(spark, d):
+    found = clusters.merged_summary(blocks.merged_activities(primitives(spark, d), least_length=15.0, tolerance=1.2))
+    return found.withColumn("absorbed_labels", F.array_join(F.col("absorbed_labels").cast("array<string>"), ","))
+
+
+@query()
+def chart_sample(spark, d):
+    return charts.sampled(primitives(spark, d), 200).select("id", "label")
+
+
+@query()
+def dtw_distances(spark, d):
+    points = _cut_points(spark, d)
+    return segmentation.dtw_distances(mapping.activity_tensor(points.where("pos < 12")).select(F.col("activity_id").alias("id"), F.transform("samples", lambda x: x["power"]).alias("samples")))
 
 
 @query()

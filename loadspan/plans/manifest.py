@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import os
 import tempfile
 from collections.abc import Callable, Iterable
@@ -144,8 +145,17 @@ class FeatureCache:
             raise
 
     def store(self, key: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/features/{key}")
-        return self.spark.read.parquet(f"{self.root}/features/{key}")
+        """Writes beside the entry and renames, so that a write that is cut off leaves none; of two writers the first stays."""
+        path, aside = f"{self.root}/features/{key}", f"{self.root}/features/_{key}-{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        jvm = self.spark.sparkContext._jvm
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        fs = there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if self.load(key) is None:
+            fs.delete(there, True)  # an entry that cannot be read
+        if fs.exists(there) or not fs.rename(jvm.org.apache.hadoop.fs.Path(aside), there):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+        return self.spark.read.parquet(path)
 
     def through(self, key: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
         """(features, whether they were there already)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,16 @@ from loadspan.plans.manifest import FeatureCache, RunManifest, Workflow, feature
 from loadspan.sources.readers import read_csv, read_npy, read_text
 
 
+# Names of the feature models that the dense autoencoder stands in for.
+ENCODERS = ("autoencoder", "lstm_ae", "bilstm_ae", "bilstm_ae_attention", "cnn_ae", "detsec", "detsec_pc")
+
+
 def _features(points: DataFrame, segments: DataFrame, model: str) -> DataFrame:
+    if model != "dtw":
+        if model not in ENCODERS:
+            raise ValueError(f"{model} is not one of dtw, {', '.join(ENCODERS)}")
+        if model != "autoencoder":
+            warnings.warn(f"{model} needs a deep-learning library; the dense autoencoder stands in for it", stacklevel=2)
     named = segments.withColumn("id", F.row_number().over(_order()).cast("long") - 1)
     rows = mapping.segment_points(named.select("id", "activity_id", "start", "length"), points.select("activity_id", "pos", "power"))
     samples = rows.groupBy("id", "activity_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "power"))), lambda x: F.coalesce(x["power"], F.lit(0.0))).alias("samples"))
@@ -27,6 +37,15 @@ def _order():
     return Window.orderBy("series_id", "activity_id", "start")  # one row a segment
 
 
+def _numbered(activities: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with activity_id numbered through all series, so that later steps may join on it alone."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.orderBy("series_id", "activity_id")).cast("long") - 1  # one row an activity
+    ids = activities.select("series_id", "activity_id").withColumn("_id", number)
+    return tuple(df.join(ids, ["series_id", "activity_id"]).withColumn("activity_id", F.col("_id")).drop("_id") for df in (activities, points))
+
+
 def build(spark: SparkSession, manifest: RunManifest, steps: list[str], chosen: dict, raw: DataFrame, mains: DataFrame | None = None, tag: str | None = None, detector=None, cache: str | None = None) -> Workflow:
     """A workflow of the steps; each reads its input from the context, else from what the manifest names."""
     root = manifest.root
@@ -42,7 +61,8 @@ def build(spark: SparkSession, manifest: RunManifest, steps: list[str], chosen:
 
     def extract(context, m):
         found = detector.train(raw)
-        return {"activities": keep("extract_active_data", "activities", found.detect(raw)), "points": keep("extract_active_data", "points", found.points(raw))}
+        activities, points = _numbered(found.detect(raw), found.points(raw))
+        return {"activities": keep("extract_active_data", "activities", activities), "points": keep("extract_active_data", "points", points)}
 
     def segment(context, m):
         points = table(context, "extract_active_data", "points")
@@ -52,7 +72,8 @@ def build(spark: SparkSession, manifest: RunManifest, steps: list[str], chosen:
         points, segments = table(context, "extract_active_data", "points"), table(context, "time_segmentation", "segments")
         make = lambda: _features(points, segments, chosen["feature_model"])
         if cache:
-            return {"features": FeatureCache(spark, cache).through(feature_key(segments, chosen["feature_model"], {"n": points.count()}), make)[0]}
+            samples = feature_key(points.select("series_id", "activity_id", "pos", "power"), chosen["feature_model"], {})
+            return {"features": keep("feature_extract", "features", FeatureCache(spark, cache).through(feature_key(segments, chosen["feature_model"], {"samples": samples}), make)[0])}
         return {"features": keep("feature_extract", "features", make())}
 
     def cluster(context, m):

@@ -75,8 +75,19 @@ def read_pair(spark: SparkSession, branch: str, mains: str) -> tuple[DataFrame,
 
 
 def read_activities(spark: SparkSession, path: str) -> DataFrame:
-    """activity_id, pos, t, power of a folder of activity files: numbered from 0 in order of their names."""
-    rows = read_csv(spark, path)
+    """activity_id, pos, t, power of a folder of activity files: numbered from 0 in order of their names.
+
+    Columns are found by name in each file's own header; files without power have no rows and no number.
+    """
+    lines = spark.read.text(path).select(F.col(_FILE).alias("series_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.split("value", ",").alias("_v"))
+    heads = lines.where("_block = 0").groupBy("series_id").agg(F.min_by("_v", "_line").alias("_h"), F.min("_line").alias("_first"))  # one row a file
+    clean = F.transform("_h", lambda c: F.lower(F.btrim(c, F.lit(" \t\r\"\ufeff"))))
+    heads = heads.withColumn("_h", clean).where(F.array_contains("_h", "power"))
+    place = lambda name: F.array_position("_h", name).cast("int")
+    time = F.when(place("datetime") > 0, place("datetime")).when(place("timestamp") > 0, place("timestamp")).otherwise(F.lit(1))
+    rows = lines.join(heads, "series_id").where("_line <> _first").withColumns({"_t": F.get("_v", time - 1), "_p": F.get("_v", place("power") - 1)})
+    t = F.coalesce(F.expr("try_cast(_t AS double)"), F.unix_micros(F.expr("try_cast(_t AS timestamp)")) / 1e6)
+    rows = _numbered(rows.select("series_id", t.alias("t"), F.expr("try_cast(_p AS double)").alias("power")).where("t is not null"))
     names = rows.select("series_id").distinct().withColumn("activity_id", F.row_number().over(Window.orderBy("series_id")).cast("long") - 1)  # one row a file
     return rows.join(names, "series_id").select("activity_id", F.col("event_id").alias("pos"), "t", "power")
 
@@ -84,7 +95,7 @@ def read_activities(spark: SparkSession, path: str) -> DataFrame:
 def read_benchmark(spark: SparkSession, description: str, folder: str) -> DataFrame:
     """dataset, window_size, cps, series: lines `name,window,cp,...` and a file of numbers per name."""
     d = spark.read.text(description).select(F.split("value", ",").alias("p")).where("size(p) >= 2")
-    d = d.select(F.col("p")[0].alias("dataset"), F.col("p")[1].cast("long").alias("window_size"), F.slice("p", 3, 100_000).cast("array<bigint>").alias("cps"))
+    d = d.select(F.col("p")[0].alias("dataset"), F.col("p")[1].cast("long").alias("window_size"), F.slice("p", 3, F.size("p")).cast("array<bigint>").alias("cps"))
     files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_extract(F.col(_FILE), r"([^/]+)\.txt$", 1).alias("dataset"), F.split(F.btrim("value", F.lit(" \t\r\n")), r"\s+").cast("array<double>").alias("series"))
     return d.join(files, "dataset")
 
@@ -101,6 +112,26 @@ def anchored_slice(df: DataFrame, threshold: float, n: int, before: int = 10) ->
     return rows.join(start, "series_id").where(F.col("pos").between(F.col("_s"), F.col("_s") + n - 1)).drop("_s")
 
 
+def first_power(columns: list[str]) -> str:
+    """The first column named power, on its own or as the first part of a two-part name; an error if there is none."""
+    for c in columns:
+        if c.split(".")[0].strip("()' ").split(",")[0].strip("' ") == "power":
+            return c
+    raise ValueError("no power column")
+
+
+def read_annotated(spark: SparkSession, path: str, place: str = "indoor") -> DataFrame:
+    """dataset, window_size, cps, labels, series array<array<double>>: a CSV of list literals, a row a series.
+
+    place: indoor series have 9 channels and outdoor ones 6; rows of another width are an error when they are read.
+    """
+    width = {"indoor": 9, "outdoor": 6}[place]
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    rows = raw.select("dataset", F.col("window_size").cast("long"), F.from_json("change_points", "array<bigint>").alias("cps"), F.split(F.regexp_replace("labels", r"[\[\]'\s]", ""), ",").alias("labels"), F.from_json("time_series", "array<array<double>>").alias("series"))
+    sound = F.forall("series", lambda x: F.size(x) == width)
+    return rows.withColumn("series", F.when(sound, F.col("series")).otherwise(F.raise_error(F.lit(f"a series of other than {width} channels")).cast("array<array<double>>")))
+
+
 def meter_score(rules: list[tuple[Column, int]]) -> Column:
     """The points of the first rule that holds, else 0."""
     if not rules:
