@@ -125,6 +125,34 @@ def test_op8_notices(spark, odd_documents):
     assert licences.scan(odd_documents).count() == 8 and licences.scan(odd_documents.limit(0)).count() == 0
 
 
+def test_op8_mentions_are_no_notices():
+    prose = b"we compare the mit license with others and the apache license too , under public terms the software may be free "
+    mit = dict((label, text) for label, text, _ in licences.NOTICES if text.startswith("permission is hereby granted free of charge to any person obtaining"))["mit"]
+    counts, n = {}, 200
+    for _, text, _ in licences.NOTICES:
+        for w in set(licences.words_of(text.encode())):
+            counts[w] = counts.get(w, 0) + 3
+    index = licences.RareTokenIndex(counts, n)
+    labels = lambda t: {f[0] for f in index.scan(t)[3]}
+    assert labels(prose) == labels(b"this is not under the apache license at all") == labels(b"it was never released under the mit license") == set()
+    assert index.scan(prose)[2] == ["apache", "mit"]  # base labels stay
+    assert labels(prose + b"Released under the MIT License.") == {"mit"} and labels(b"Licensed under the Apache License, Version 2.0") == {"apache"}
+    assert labels(b"This work is licensed under the GNU General Public License, version 3.") == {"gpl"}
+    whole = b"intro " * 30 + mit.encode() + b" outro" * 30
+    assert [f[:3] for f in index.scan(whole)[3]] == [("mit", 30, 30 + len(mit.split()))]
+    worn = mit.replace("merge publish", "merge and publish").replace("sell copies", "sell any copies")
+    assert labels(worn.encode()) == {"mit"} and labels(mit.replace("substantial portions", "parts").encode()) == set()
+    assert labels(" ".join(sorted(mit.split())).encode()) == set()
+
+
+def test_op8_labels_on_the_tables(spark, texts):
+    """The notices that the tables hold, told by plain search."""
+    plain = {"mit": "released under the mit license", "apache": "licensed under the apache license, version 2.0", "gpl": "licensed under the gnu general public license, version 3", "cc-by-nc": "licensed under cc by-nc 4.0"}
+    for r in queries.op8_license_scan(spark, SF).collect():
+        want = {k for k, p in plain.items() if p in (texts[r.doc_id] or "").lower()} | set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == want
+
+
 def test_op8_every_place_of_a_notice():
     index = licences.RareTokenIndex({}, 10)
     notice = b"released under the mit license "
