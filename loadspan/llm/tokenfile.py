@@ -25,9 +25,8 @@ from loadspan.llm.tables import small_batches
 from loadspan.llm.wordpieces import chunk_encoder
 
 BLOCK_IDS = 1 << 20
-#: Rounds of replacement end when one shortens the sequence by less than this share.
-LEAST_GAIN = 0.02
-LEAST_COUNT = 24
+#: A rule takes 12 bytes (two symbols and a length) and each use of it saves one symbol of 2 bytes: rarer pairs do not pay.
+LEAST_COUNT = 7
 _BUCKETS = 1 << 20
 
 FILE_SCHEMA = (
@@ -37,13 +36,16 @@ FILE_SCHEMA = (
 
 
 def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, sequence): rule i, symbol base + i, stands for the two symbols rules[i], lengths[i] ids in all."""
+    """(rules, lengths, sequence): rule i, symbol base + i, stands for the two symbols rules[i], lengths[i] ids in all.
+
+    Rounds go on until no pair is found LEAST_COUNT times; each replaces the more frequent half of such pairs. Symbols
+    are 16 bits wide, so a block has most_symbols at most: wider ones would double the sequence.
+    """
     sequence = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
-    made, before = 0, 0.0
-    while len(sequence) <= (1 - LEAST_GAIN) * (before or np.inf):
-        before = len(sequence)
+    made = 0
+    while True:
         room = most_symbols - base - made
         if len(sequence) < 2 or room <= 0:
             break
@@ -156,19 +158,41 @@ def _block(row: dict) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     return base, rules, np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64), sequence
 
 
+def ids_between(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(at, ids array<int>): the file's ids from start to stop (exclusive), a row for each block that holds some, at being
+    the first one's place. Blocks elsewhere are not decoded, and of these only the symbols that reach into the range."""
+    file, starts = _placed(spark, path)
+    near = file.join(starts, ["shard", "block"]).where((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                base, rules, lengths, sequence = _block(row)
+                lo, hi = max(0, start - row["start"]), min(row["n_ids"], stop - row["start"])
+                ids = read_range(base, rules, lengths, sequence, lo, hi).astype(np.int32)
+                yield pa.record_batch([pa.array([row["start"] + lo]), pa.array([ids], pa.list_(pa.int32()))], names=["at", "ids"])
+
+    return near.select("start", "n_ids", "base", "rules", "rule_lengths", "sequence").mapInArrow(run, "at long, ids array<int>")
+
+
+def _placed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The file, and (shard, block, start): the ids before each block."""
+    file = spark.read.parquet(path)
+    of_shard = file.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shard_start = of_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    within = Window.partitionBy("shard").orderBy("block")
+    starts = file.select("shard", "block", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("block_start")).join(shard_start, "shard")
+    return file, starts.select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start"))
+
+
 def documents(spark: SparkSession, path: str, ids: bool = False, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32[, ids]) for every document of a token file, decoded from its blocks.
 
     start counts the ids of all documents before it: the ids of earlier shards (one sum a shard), of earlier blocks
     of the shard, and of earlier documents of the block.
     """
-    file = spark.read.parquet(path)
+    file, starts = _placed(spark, path)
     kind = file.schema["keys"].dataType.elementType.simpleString()
-    of_shard = file.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    shard_start = of_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    within = Window.partitionBy("shard").orderBy("block")
-    starts = file.select("shard", "block", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("block_start")).join(shard_start, "shard")
-    starts = starts.select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -119,7 +119,7 @@ class ToxicityModel:
         self.pair, self.first, self.bias, self.curve = np.zeros((2, 2)), 0.0, -8.0, np.array([-3.0, 0.0, 0.0])
 
     @staticmethod
-    def fit(texts: list[str], toxic: list[bool], class_weight: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
+    def fit(texts: list[str], toxic: list[bool], class_weight: tuple[float, float] = (1.0, 1.0), max_sentences: int = MAX_SENTENCES) -> ToxicityModel:
         """From whole texts and their labels. Without texts of either class, scores are constant and below 0.5."""
         model = ToxicityModel()
         if not any(toxic) or all(toxic):
@@ -132,7 +132,7 @@ class ToxicityModel:
         is_bad = np.array([w in bad for w in found.forms] or [False])
         labels = np.array(toxic)
         tag = is_bad[found.code] & labels[found.doc] if len(found.code) else np.zeros(0, bool)
-        chosen = model._sentences(found, tag)
+        chosen = model._sentences(found, tag, max_sentences)
         rows = np.concatenate([np.arange(a, a + n) for a, n in zip(found.first[chosen], found.length[chosen])] or [np.zeros(0, int)]).astype(int)
         if len(rows):
             model._fit_field(found, tag, rows, found.length[chosen])
@@ -140,10 +140,10 @@ class ToxicityModel:
         return model
 
     @staticmethod
-    def _sentences(found: Tokens, tag: np.ndarray) -> np.ndarray:
+    def _sentences(found: Tokens, tag: np.ndarray, most: int) -> np.ndarray:
         marked = np.add.reduceat(tag.astype(int), found.first) > 0 if len(found.first) else np.zeros(0, bool)
         order = np.argsort((np.arange(len(marked)) * 2654435761) & 0xFFFFFFFF, kind="stable")
-        return np.sort(np.concatenate([order[marked[order]][:MAX_SENTENCES], order[~marked[order]][:MAX_SENTENCES]]))
+        return np.sort(np.concatenate([order[marked[order]][:most], order[~marked[order]][:most]]))
 
     def _fit_field(self, found: Tokens, tag: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> None:
         code = found.code[rows]
@@ -195,10 +195,11 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS, max_sentences: int = MAX_SENTENCES) -> ToxicityModel:
     """The model from labelled rows that are not held out, at most max_per_class of either label, whole texts.
 
-    Rows without a label of 0 or 1, a key or a text are passed over; of a key labelled twice, the higher label counts.
+    Rows without a label of 0 or 1, a key or a text are passed over; of a key labelled twice, the higher label counts,
+    and of rows that repeat a key, the least text. max_sentences: sentences of either kind that fit the field.
     """
     known = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_toxic"))
     sizes = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -207,11 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = known.where(F.col("_toxic") == value).orderBy(F.xxhash64(key), key).limit(max_per_class)
         sample = part if sample is None else sample.union(part)
     # at most 2 * max_per_class keys, whatever the size of the tables
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).join(F.broadcast(sample), key).select(key, "_text", "_toxic").collect()
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).join(F.broadcast(sample), key)
+    rows = rows.groupBy(key).agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic")).collect()  # one text a key
     rows.sort(key=lambda r: (r[0], r[1]))
     toxic = [bool(r[2]) for r in rows]
     weight = tuple(sizes.get(v, 0) / max(1, sum(t == bool(v) for t in toxic)) for v in (0, 1))
-    return ToxicityModel.fit([r[1] for r in rows], toxic, weight)
+    return ToxicityModel.fit([r[1] for r in rows], toxic, weight, max_sentences)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:

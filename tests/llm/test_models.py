@@ -100,11 +100,14 @@ def test_op7_odd_rows(spark, odd_documents):
     assert toxicity.scored(odd_documents, none).where("score >= 0.5").count() == 0
 
 
-def test_op7_held_out_accuracy(spark):
-    rows = {r.doc_id: r for r in queries.op7_crf_toxicity(spark, "/root/testdata/sf0.01").collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+def test_op7_held_out_recall_and_precision(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in queries.op7_crf_toxicity(spark, sf).select("doc_id", "predicted", "held_out").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(labels[k], r.predicted) for k, r in rows.items() if r.held_out and k in labels]
-    assert sum(a == b for a, b in held) / len(held) >= 0.9
+    caught, toxic, said = (sum(x) for x in zip(*((a and b, a, b) for a, b in held)))
+    # some documents labelled toxic hold no toxic word
+    assert toxic >= 50 and caught >= 0.8 * toxic and caught >= 0.95 * said
 
 
 def test_op8_against_brute_force(spark, texts):

@@ -26,3 +26,23 @@ def test_stages_take_effect(spark):
     assert all((a ^ b).bit_count() > 3 for i, a in enumerate(left) for b in left[:i])
     packed = corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()
     assert {r.doc_id for r in packed} == kept[-1]
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and no rows at all."""
+    good = " ".join(f"word{i} of a plain sentence that stands by itself number {i}." for i in range(40))
+    rows = [
+        (1, good, "en", "a", 5), (1, good, "en", "a", 5), (2, None, None, None, None), (3, "", "en", None, 0), (None, good + " without a key", "en", "b", 1),
+        (4, "\n".join(f"{i} {good}" for i in range(200)), "en", "b", None), (5, " \n\t ", None, "c", 4),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF).collect()
+            if name != "best-fit packing":
+                assert not out or out[0].__fields__ == corpus_pipeline.COLUMNS
+                assert {r.doc_id for r in out} <= {1, 2, 3, 4, 5, None}
+            else:
+                assert {r.doc_id for r in out} == ({1, 2, 3, 4, 5, None} if docs is df else set()) and len([r for r in out if r.doc_id == 1 and r.piece == 0]) == (2 if docs is df else 0)
+        assert docs is not df or {r.doc_id for r in corpus_pipeline.not_toxic(spark, df, SF).collect()} == {1, 2, 3, 4, 5, None}
+        assert docs is not df or {r.doc_id for r in corpus_pipeline.fresh_lines(spark, df, SF).collect()} >= {None, 2, 3, 5}  # the null key is the first

@@ -87,6 +87,28 @@ def test_op5_against_whole_encoding(spark, texts):
         start += len(ids)
 
 
+def test_op5_ranges_and_sizes(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 5000)
+    path = str(tmp_path / "f")
+    tokenfile.write_token_file(documents, path, P.path("byte_bpe_50k.json"), 0, shards=3)
+    every = [i for r in sorted(tokenfile.documents(spark, path, ids=True).collect(), key=lambda r: r.start) for i in r.ids]
+    for start, stop in ((0, 10), (4990, 5010), (12_345, 33_333), (len(every) - 5, len(every) + 5), (7, 7)):
+        got = sorted((r.at, r.ids) for r in tokenfile.ids_between(spark, path, start, stop).collect())
+        assert [i for _, ids in got for i in ids] == every[start:stop] and (not got or got[0][0] == start)
+
+
+def test_op5_rules_pay_and_none_is_left():
+    rng = np.random.default_rng(0)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 50_000).astype(np.int32)
+    ids[50_000:90_000] = np.tile(ids[:400], 100)
+    rules, lengths, sequence = tokenfile.compress(ids, 50_257)
+    assert (tokenfile.expand(sequence, 50_257, rules, lengths) == ids).all()
+    assert 12 * len(rules) + 2 * len(sequence) < 0.75 * 2 * len(ids)
+    pairs = np.flatnonzero(np.diff(sequence) != 0)  # pairs that cannot overlap themselves
+    _, counts = np.unique(sequence[pairs] * (1 << 20) + sequence[pairs + 1], return_counts=True)
+    assert counts.max() < tokenfile.LEAST_COUNT
+
+
 def test_op5_odd_rows(spark, odd_documents, tmp_path):
     path = str(tmp_path / "f")
     tokenfile.write_token_file(odd_documents, path, P.path("byte_bpe_50k.json"), 0, shards=3)
