@@ -13,7 +13,7 @@ Of their sentences, MAX_SENTENCES with toxic tokens and as many without fit the
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,39 +72,58 @@ def tokens(texts: pa.Array) -> Tokens:
     ends = np.concatenate([[0], np.cumsum(sizes)])
     coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[inside])).dictionary_encode()
     doc = np.searchsorted(offsets, start, "right") - 1
-    stop = np.cumsum(_STOP[data]) if len(data) else np.zeros(0, int)
+    stop = np.cumsum(_STOP[data], dtype=np.int32) if len(data) else np.zeros(0, np.int32)
     sentence = np.concatenate([[True], (np.diff(stop[start]) > 0) | (np.diff(doc) > 0)]) if len(start) else np.zeros(0, bool)
     first = np.flatnonzero(sentence)
     return Tokens(coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64), start - offsets[doc], end - offsets[doc], doc, first, np.diff(np.concatenate([first, [len(start)]])))
 
 
-def lexicon(words: list[set[str]], toxic: list[bool], weight: list[float]) -> set[str]:
-    """Words that documents labelled toxic hold significantly more often than the others."""
-    totals, counts = [0.0, 0.0], (defaultdict(float), defaultdict(float))
-    for ws, t, x in zip(words, toxic, weight):
-        totals[t] += x
-        for w in ws:
-            counts[t][w] += x
-    found = set()
-    for w, a in counts[1].items():
-        n = a + counts[0].get(w, 0.0)
-        expected = n * totals[1] / (totals[0] + totals[1])
-        if a >= _LEAST_DOCS and a > 1.5 * expected:
-            c, rest = n - a, n - expected
-            gain = 2 * (a * np.log(a / expected) + (c * np.log(c / rest) if c > 0 and rest > 0 else 0.0))
-            if gain >= _LEAST_GAIN:
-                found.add(w)
-    return found
-
-
-def _copies(words: list[set[str]]) -> list[float]:
+def _parts(texts: list[str]) -> Iterator[tuple[int, Tokens]]:
+    """(number of the first text, words) of 100 texts at a time."""
+    for a in range(0, len(texts), 100):
+        yield a, tokens(pa.array(texts[a : a + 100], pa.large_string()))
+
+
+def _sample_tokens(texts: list[str]) -> Tokens:
+    """As tokens(), without places, read in parts so that little is held beside the words' numbers."""
+    forms: dict[str, int] = {}
+    code, doc, first, length, n = [], [], [], [], 0
+    for a, found in _parts(texts):
+        number = np.array([forms.setdefault(w, len(forms)) for w in found.forms], np.int32)
+        code.append(number[found.code] if len(number) else number)
+        doc.append((found.doc + a).astype(np.int32))
+        first.append(found.first + n)
+        length.append(found.length)
+        n += len(found.code)
+    return Tokens(list(forms), np.concatenate(code), np.zeros(0, int), np.zeros(0, int), np.concatenate(doc), np.concatenate(first), np.concatenate(length))
+
+
+def lexicon(doc: np.ndarray, code: np.ndarray, n_forms: int, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which forms documents labelled toxic hold significantly more often than the others; (doc, code): each form that a document has, once."""
+    mass = weight[doc]
+    a, n = np.bincount(code, mass * toxic[doc], n_forms), np.bincount(code, mass, n_forms)
+    expected = n * weight[toxic].sum() / weight.sum()
+    c, rest = n - a, n - expected
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (a * np.log(a / expected) + np.where((c > 1e-9) & (rest > 0), c * np.log(c / rest), 0.0))
+    return (a >= _LEAST_DOCS) & (a > 1.5 * expected) & (gain >= _LEAST_GAIN)
+
+
+def _copies(doc: np.ndarray, code: np.ndarray, forms: list[str], n_docs: int) -> np.ndarray:
     """One over the number of documents with the same three least word hashes, by either of two sets of hashes: near
-    copies count about once together."""
-    mix = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xFD7046C5)
-    base = {w: zlib.crc32(w.encode()) for ws in words for w in ws}
-    marks = [[min(((base[w] ^ m) * m & 0xFFFFFFFF for w in ws), default=0) for m in mix] for ws in words]
-    groups = [Counter(tuple(m[k : k + 3]) for m in marks) for k in (0, 3)]
-    return [1 / max(groups[0][tuple(m[:3])], groups[1][tuple(m[3:])]) for m in marks]
+    copies count about once together. doc is ascending."""
+    mix = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xFD7046C5], np.uint64)
+    base = np.fromiter((zlib.crc32(w.encode()) for w in forms), np.uint64, len(forms))
+    marks = np.zeros((n_docs, len(mix)), np.uint64)
+    if len(doc):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(doc) > 0]))
+        for k, m in enumerate(mix):
+            marks[doc[first], k] = np.minimum.reduceat((((base ^ m) * m) & np.uint64(0xFFFFFFFF))[code], first)
+    sizes = []
+    for k in (0, 3):
+        _, group, count = np.unique(marks[:, k : k + 3], axis=0, return_inverse=True, return_counts=True)
+        sizes.append(count[group.ravel()])
+    return 1 / np.maximum(*sizes)
 
 
 def _features(word: str) -> tuple[str, str]:
@@ -124,19 +143,17 @@ class ToxicityModel:
         model = ToxicityModel()
         if not any(toxic) or all(toxic):
             return model
-        found = tokens(pa.array(texts, pa.large_string()))
-        words: list[set[str]] = [set() for _ in texts]
-        for d, c in set(zip(found.doc.tolist(), found.code.tolist())):
-            words[d].add(found.forms[c])
-        bad = lexicon(words, toxic, _copies(words))
-        is_bad = np.array([w in bad for w in found.forms] or [False])
-        labels = np.array(toxic)
+        found = _sample_tokens(texts)
+        labels, n_forms = np.array(toxic), max(1, len(found.forms))
+        doc, code = np.divmod(np.unique(found.doc.astype(np.int64) * n_forms + found.code), n_forms)
+        is_bad = lexicon(doc, code, n_forms, labels, _copies(doc, code, found.forms, len(texts)))
         tag = is_bad[found.code] & labels[found.doc] if len(found.code) else np.zeros(0, bool)
         chosen = model._sentences(found, tag, max_sentences)
         rows = np.concatenate([np.arange(a, a + n) for a, n in zip(found.first[chosen], found.length[chosen])] or [np.zeros(0, int)]).astype(int)
         if len(rows):
             model._fit_field(found, tag, rows, found.length[chosen])
-        model._fit_curve(found, labels, class_weight)
+        del found, doc, code, tag
+        model._fit_curve(texts, labels, class_weight)
         return model
 
     @staticmethod
@@ -169,8 +186,8 @@ class ToxicityModel:
         np.maximum.at(most, found.doc, p)
         return np.stack([np.ones(n_docs), most, np.log1p(total)], axis=1)
 
-    def _fit_curve(self, found: Tokens, labels: np.ndarray, class_weight: tuple[float, float]) -> None:
-        x = self._summary(found, self.token_scores(found), len(labels))
+    def _fit_curve(self, texts: list[str], labels: np.ndarray, class_weight: tuple[float, float]) -> None:
+        x = np.concatenate([self._summary(found, self.token_scores(found), min(100, len(texts) - a)) for a, found in _parts(texts)])
         w, y, beta = np.where(labels, class_weight[1], class_weight[0]), labels.astype(float), np.zeros(3)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -211,9 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).join(F.broadcast(sample), key)
     rows = rows.groupBy(key).agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic")).collect()  # one text a key
     rows.sort(key=lambda r: (r[0], r[1]))
-    toxic = [bool(r[2]) for r in rows]
+    texts, toxic = [r[1] for r in rows], [bool(r[2]) for r in rows]
+    del rows
     weight = tuple(sizes.get(v, 0) / max(1, sum(t == bool(v) for t in toxic)) for v in (0, 1))
-    return ToxicityModel.fit([r[1] for r in rows], toxic, weight, max_sentences)
+    return ToxicityModel.fit(texts, toxic, weight, max_sentences)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
