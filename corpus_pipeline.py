@@ -7,16 +7,42 @@ where a stage changes texts. Part of the subpackage loadspan.llm.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadspan.llm import lines, packing, quality, simhash, toxicity
-from loadspan.llm.tables import parquet, written
+from loadspan.llm.tables import parquet, recorded, removed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the operators of earlier stages wrote for their own use.
+_left: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """f, after it has deleted what the stages before it wrote for their own use: docs is a table by then.
+
+    Tables that docs is still read from stay, should it be none.
+    """
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = removed(spark, _left, docs)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
+@stage
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a score of at least 0.5; the model learns from labelled rows of docs that are not held out.
 
@@ -27,6 +53,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).where("score < 0.5").select(*COLUMNS)
 
 
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and are probably good.
 
@@ -36,6 +63,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.judged(docs).where("kept").select(*COLUMNS)
 
 
+@stage
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that are similar to earlier ones; documents that had lines and lose all of them go.
 
@@ -46,6 +74,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest key of each near-duplicate group.
 
@@ -55,6 +84,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.deduplicated(docs).select(*COLUMNS)
 
 
+@stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 4096 tokens.
 
@@ -78,6 +108,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES:
+        docs = written(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

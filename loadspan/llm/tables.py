@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loadspan/{name}-{uuid.uuid4().hex}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def removed(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
+    """Deletes those tables but the ones that docs is read from, which are given back."""
+    files = docs.inputFiles() if paths else []
+    used = [p for p in paths if any(f"{p.rpartition('/')[2]}/" in f for f in files)]
+    for p in paths:
+        if p not in used:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return used
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for made in _recorders:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

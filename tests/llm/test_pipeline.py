@@ -28,6 +28,16 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in packed} == kept[-1]
 
 
+def test_stages_clear_up_but_keep_what_is_read(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lazy = corpus_pipeline.good_quality(spark, docs, SF)
+    again = corpus_pipeline.good_quality(spark, lazy, SF)  # reads the tables of the first call
+    assert 0 < again.count() <= lazy.count()
+    before = list(corpus_pipeline._left)
+    corpus_pipeline.not_toxic(spark, docs, SF)
+    assert before and not set(before) & set(corpus_pipeline._left)
+
+
 def test_stages_take_odd_rows(spark):
     """Nulls in every column, empty and very long texts, repeated rows, and no rows at all."""
     good = " ".join(f"word{i} of a plain sentence that stands by itself number {i}." for i in range(40))
