@@ -103,6 +103,8 @@ class RareTokenIndex:
                 if w in rare:
                     self.postings[w].append((number, q))
 
+        self.wanted = frozenset(self.postings) | frozenset(self.base)
+
     def _places(self, words: list[bytes], at: dict[bytes, list[int]]) -> dict[int, set[int]]:
         """Where templates would begin, by their numbers; one place stands for those that lie within SLACK after it."""
         starts: dict[int, set[int]] = defaultdict(set)
@@ -131,7 +133,8 @@ class RareTokenIndex:
         """(words, starts of base phrases, base labels, found notices as (label, start, end, score))."""
         words = words_of(text)
         starts, labels, at = [], set(), defaultdict(list)
-        for p, w in enumerate(words):
+        wanted = self.wanted
+        for p, w in [(p, w) for p, w in enumerate(words) if w in wanted]:
             for phrase, label in self.base.get(w, ()):
                 if words[p : p + len(phrase)] == phrase:
                     starts.append(p)
