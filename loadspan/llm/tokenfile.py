@@ -27,7 +27,7 @@ from loadspan.llm.wordpieces import chunk_encoder
 BLOCK_IDS = 1 << 20
 #: A rule takes 12 bytes (two symbols and a length) and each use of it saves one symbol of 2 bytes: rarer pairs do not pay.
 LEAST_COUNT = 7
-_BUCKETS = 1 << 20
+_BUCKET_BITS = 20
 
 FILE_SCHEMA = (
     "shard int, block int, n_ids long, keys array<{kind}>, sizes array<int>, base int, "
@@ -39,9 +39,12 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
     """(rules, lengths, sequence): rule i, symbol base + i, stands for the two symbols rules[i], lengths[i] ids in all.
 
     Rounds go on until no pair is found LEAST_COUNT times; each replaces the more frequent half of such pairs. Symbols
-    are 16 bits wide, so a block has most_symbols at most: wider ones would double the sequence.
+    are 16 bits wide, so a block has most_symbols at most: wider ones would double the sequence. A pair of such symbols
+    is one 32-bit number.
     """
-    sequence = ids.astype(np.int64)
+    shift = (max(base, most_symbols) - 1).bit_length()
+    kind, bits = (np.uint32, 32) if shift <= 16 else (np.uint64, 64)
+    sequence = ids.astype(kind)
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     made = 0
@@ -49,9 +52,9 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
         room = most_symbols - base - made
         if len(sequence) < 2 or room <= 0:
             break
-        key = sequence[:-1] * (base + made) + sequence[1:]
-        bucket = (key * 0x9E3779B1 >> 12) & (_BUCKETS - 1)
-        often = np.bincount(bucket, minlength=_BUCKETS) >= LEAST_COUNT
+        key = sequence[:-1] << kind(shift) | sequence[1:]
+        bucket = (key * kind(0x9E3779B97F4A7C15 >> (64 - bits)) >> kind(bits - _BUCKET_BITS)).astype(np.intp)
+        often = np.bincount(bucket, minlength=1 << _BUCKET_BITS) >= LEAST_COUNT
         maybe = np.flatnonzero(often[bucket])
         key_maybe = key[maybe]
         found, counts = np.unique(key_maybe, return_counts=True)
@@ -67,8 +70,10 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
         fresh = np.concatenate([[True], np.diff(at) > 1])
         number = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         at, place = at[number % 2 == 0], place[number % 2 == 0]
-        used, symbol = np.unique(place, return_inverse=True)
-        pairs = np.stack([best[used] // (base + made), best[used] % (base + made)], axis=1)
+        taken = np.zeros(len(best), bool)
+        taken[place] = True
+        used, symbol = np.flatnonzero(taken), (np.cumsum(taken) - 1)[place]
+        pairs = np.stack([best[used] >> kind(shift), best[used] & kind((1 << shift) - 1)], axis=1).astype(np.int64)
         sequence[at] = base + made + symbol
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
@@ -76,7 +81,7 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
         rules.append(pairs)
         lengths = np.concatenate([lengths, lengths[pairs].sum(axis=1)])
         made += len(pairs)
-    return np.concatenate([np.zeros((0, 2), np.int64), *rules]), lengths[base:], sequence
+    return np.concatenate([np.zeros((0, 2), np.int64), *rules]), lengths[base:], sequence.astype(np.int64)
 
 
 def expand(sequence: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
