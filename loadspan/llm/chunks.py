@@ -90,13 +90,13 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 class ChunkEncoder:
     """Ids of texts by way of their distinct chunks.
 
-    encode: gives for a list of distinct strings their arrays of int32 ids. Short chunks are remembered for later batches of
+    encode: gives for a list of distinct strings their int32 ids, as arrays or their bytes. Short chunks are remembered for later batches of
     the same worker process, in two generations of about cache_bytes each: when the younger one is full, within a batch
     too, the elder one is dropped.
     bare: the encoder ignores the case of ASCII letters and white space before a word, so that chunks go without.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], cache_bytes: int = CACHE_BYTES, bare: bool = False):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray | bytes]], cache_bytes: int = CACHE_BYTES, bare: bool = False):
         self.encode, self.cache_bytes, self.bare, self.known, self.elder, self.held = encode, cache_bytes, bare, {}, {}, 0
 
     def _remember(self, word: str, ids: bytes) -> None:
@@ -132,7 +132,7 @@ class ChunkEncoder:
         for a in range(0, len(new), CALL_CHUNKS):  # in parts, so that the arrays of many new chunks are not held at once
             some = new[a : a + CALL_CHUNKS]
             for i, ids in zip(some, self.encode([words[i] for i in some]), strict=True):
-                got[i] = ids.tobytes()
+                got[i] = bytes(ids)
                 if len(words[i]) <= CACHE_CHARS:
                     self._remember(words[i], got[i])
         sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2

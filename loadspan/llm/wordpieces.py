@@ -33,8 +33,8 @@ def chunk_encoder(tokenizer_path: str) -> ChunkEncoder:
     def alone(chunk: str) -> np.ndarray:
         return np.array(plain.encode(chunk, add_special_tokens=False).ids, np.int32)
 
-    def encode(chunks: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def encode(chunks: list[str]) -> list[np.ndarray | bytes]:
+        out: list[np.ndarray | bytes] = []
         for a in range(0, len(chunks), CALL):
             some = chunks[a : a + CALL]
             joined = text.join(some)
@@ -42,8 +42,8 @@ def chunk_encoder(tokenizer_path: str) -> ChunkEncoder:
                 out += map(alone, some)
                 continue
             ids = np.array(joining.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-            ends = [*np.flatnonzero(ids == between).tolist(), len(ids)]
-            out += [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+            ends, raw = [*(4 * np.flatnonzero(ids == between)).tolist(), 4 * len(ids)], ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
         return out
 
     steps = (json.loads(plain.to_str())["normalizer"] or {}).get("normalizers", [])
