@@ -2,16 +2,18 @@
 
 Lines are compared lower-cased and trimmed. A line's signature comes from all its shingles of SHINGLE characters: a
 shingle's hash falls into one of RANGES ranges, and the least hash of each range is kept (one-permutation hashing; an
-empty range borrows from the others in a fixed order). Of the signature, BANDS bands of ROWS values are the buckets in
-which lines meet, and one byte of each value is the sketch, which costs 32 bytes a line. Pairs whose sketches agree in
-fewer than LIKE places of 32 are no candidates (at a similarity of 0.8 about 26 agree); all others are decided by exact
-Jaccard similarity over the shingles themselves.
-
-Within a bucket every line meets the least line first, which gives one pair a line and bucket. Buckets that this leaves
-in several components are gone through again: their lines outside the main component meet all lines of other components.
-Where these are more than CUT, the bucket is split by the lines' further bands before, as often as it takes. Components
-come from distributed union-find, and the first line (least document key, then position) of each component stays.
-
+empty range borrows from the others in a fixed order). One byte of each value is the sketch, which costs 32 bytes a
+line; BANDS bands of ROWS bytes of it are the buckets in which lines meet. Pairs whose sketches agree in fewer than LIKE
+places of 32 are no candidates (at a similarity of 0.8 about 26 agree); all others are decided by exact Jaccard
+similarity over the shingles themselves.
+
+Within a bucket every line meets the least line first, and then its neighbours in two orders of the sketches, which gives
+a few pairs a line and bucket. Buckets that this leaves in several components are gone through again: their lines outside the main component meet all lines of other components.
+Where these are more than CUT, the bucket's lines meet by their rarest shingles instead, so many that two similar lines
+share one (prefix filter), which leaves out no similar pair. Components come from distributed union-find, and the first
+line (least document key, then position) of each component stays.
+
+Texts are fetched once, for the lines that may have to be compared, and are looked at only for pairs that are candidates.
 Lines are told apart by two 64-bit hashes; in the graph by the first of them.
 """
 
@@ -21,9 +23,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from loadspan.llm.components import connected_components
-from loadspan.llm.tables import written
+from loadspan.llm.tables import freed, written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -35,6 +38,8 @@ LIKE = 20
 CUT = 32
 #: Bits of the filter that keeps other lines' texts out of the shuffle; its table is FILTER_BITS / 8 bytes at most.
 FILTER_BITS = 1 << 23
+#: Words of 64 bits in which a line's shingles are marked, to tell which pairs cannot be similar.
+MARKS = 32
 _BLANK = " \t\x0b\x0c\r"
 _SKETCH = ["_s0", "_s1", "_s2", "_s3"]
 
@@ -57,10 +62,17 @@ def signatures(lines: DataFrame, by: list[str], line: str = "_line") -> DataFram
     # where an empty range borrows, in turn; lines of few shingles borrow the least of all in the end
     lent = [0, 11, 5, 21, 14, 29, 3, 18]
     picked = least.select(*by, *[F.coalesce(*[F.col(f"_m{(j + k) % RANGES}") for k in lent], F.col("_least")).alias(f"_p{j}") for j in range(RANGES)])
-    bands = [F.xxhash64(F.lit(j), *[F.col(f"_p{j * ROWS + i}") for i in range(ROWS)]) for j in range(BANDS)]
-    byte = lambda j: F.shiftleft(F.coalesce(F.col(f"_p{j}"), F.lit(0)).bitwiseAND(F.lit(255).cast("long")), 8 * (j % 8))
+    # another byte for each row of a band: lines of few shingles have the same value in many
+    byte = lambda j: F.shiftleft(F.shiftrightunsigned(F.coalesce(F.col(f"_p{j}"), F.lit(0).cast("long")), 8 * (j % ROWS)).bitwiseAND(F.lit(255).cast("long")), 8 * (j % 8))
     packed = [reduce(Column.bitwiseOR, [byte(j) for j in range(8 * i, 8 * i + 8)]).alias(s) for i, s in enumerate(_SKETCH)]
-    return picked.select(*by, F.array(*bands).alias("_bands"), *packed)
+    return picked.select(*by, *packed).select(*by, F.array(*[_band(j) for j in range(BANDS)]).alias("_bands"), *_SKETCH)
+
+
+def _band(j: int, prefix: str = "") -> Column:
+    """The j-th bucket of a line: ROWS bytes of its sketch, and j above them."""
+    bits = 8 * ROWS
+    part = F.shiftrightunsigned(prefix + _SKETCH[j * bits // 64], j * bits % 64)
+    return part.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(j << bits))
 
 
 def _alike(a: str, b: str) -> Column:
@@ -124,55 +136,111 @@ def _parted(rows: DataFrame) -> DataFrame:
     return rows.join(several.select("_key", "_main"), "_key")
 
 
-def _across(parted: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): lines of one bucket but of different components that are similar.
-
-    A bucket's lines outside its main component meet all lines of other components, if they are CUT at most. Else the
-    bucket is split by each further band, up to all bands; what is left then has one signature, and is compared whole.
-    Pairs are decided where they meet: those that are not similar are never listed.
-    """
+def _neighbours(parted: DataFrame) -> DataFrame:
+    """(a, b): lines of different components that follow one another in a bucket by sketch, read forwards or backwards, and are alike."""
     out = None
-    for depth in range(1, BANDS + 1):
-        apart = parted.where("_c <> _main")
-        sizes = apart.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
-        now = sizes if depth == BANDS else sizes.where(F.col("_m") <= CUT)
-        left = _prefixed(apart.join(now.select("_key"), "_key", "left_semi"), "a")
-        meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_k1") < F.col("b_k1")))
-        # a pair counts only where the key's bands are the first that it shares
-        for j in range(BANDS - 1):
-            meet &= (F.col("a_last") <= j) | (F.col("a_used").bitwiseAND(F.lit(1 << j)) != 0) | (F.get("a_bands", F.lit(j)) != F.get("b_bands", F.lit(j)))
-        found = left.join(_prefixed(parted, "b"), meet & _alike("a", "b") & _enough("a_line", "b_line", threshold))
-        pairs = written(found.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")), "similar")
+    for order in (_SKETCH, _SKETCH[::-1]):
+        near = Window.partitionBy("_key").orderBy(*order, "_k1")
+        pairs = parted.select([F.col(c).alias("b" + c) for c in parted.columns] + [F.lag(c).over(near).alias("a" + c) for c in ("_k1", "_c", *_SKETCH)])
+        pairs = pairs.where((F.col("a_c") != F.col("b_c")) & _alike("a", "b")).select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
         out = pairs if out is None else out.union(pairs)
-        large = sizes.where(F.col("_m") > CUT).select("_key")
-        if depth == BANDS or large.isEmpty():
-            break
-        finer = parted.join(large, "_key", "left_semi").withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).where("_at > _last")
-        finer = finer.withColumns({"_key": F.xxhash64("_key", F.get("_bands", F.col("_at"))), "_last": F.col("_at"), "_used": F.col("_used").bitwiseOR(F.expr("shiftleft(1, _at)"))}).drop("_at", "_main")
-        parted = written(_parted(finer), "parted")
-    return out
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(parted: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): lines of one bucket but of different components that may be similar.
+
+    A bucket's lines outside its main component meet all lines of other components, if they are CUT at most; larger
+    buckets' lines meet by their rarest shingles. parted: (_key, _k1, _c, _main and the sketch).
+    """
+    sizes = parted.where("_c <> _main").groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
+    small, large = (sizes.where(x).select("_key") for x in (F.col("_m") <= CUT, F.col("_m") > CUT))
+    left = _prefixed(parted.where("_c <> _main").join(small, "_key", "left_semi"), "a")
+    meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_k1") < F.col("b_k1")))
+    # a pair counts in the first bucket that it shares only
+    at = F.shiftrightunsigned("a_key", 8 * ROWS)
+    for j in range(BANDS - 1):
+        meet &= (at <= j) | (_band(j, "a") != _band(j, "b"))
+    found = left.join(_prefixed(parted, "b"), meet & _alike("a", "b")).select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
+    wide = written(parted.join(large, "_key", "left_semi").select("_k1", "_c", *_SKETCH).distinct().join(texts, "_k1"), "large")
+    return found if wide.isEmpty() else found.union(_by_rarest(wide, threshold)).distinct()
+
+
+def _by_rarest(lines: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): lines (_k1, _c, _line and the sketch) of different components that are alike and share one of their rarest shingles.
+
+    In any one order of all shingles, two lines of n and m shingles and that similarity share one of their first
+    n - threshold * n + 1 and m - threshold * m + 1, and behind the first shared one enough are left in both lines for
+    as many as they must share. Their numbers of shingles are as near as the similarity, too.
+    """
+    grams = lines.select("_k1", "_c", F.explode(F.array_distinct(_grams(F.col("_line")))).alias("_g")).select("_k1", "_c", F.xxhash64("_g").alias("_g"))
+    often = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    of = Window.partitionBy("_k1")
+    ranked = grams.join(often.where("_f > 1"), "_g", "left").withColumns({"_i": F.row_number().over(of.orderBy(F.coalesce("_f", F.lit(1)), "_g")), "_n": F.count(F.lit(1)).over(of)})
+    # a shingle of one line only is met by none
+    first = written(ranked.where((F.col("_i") <= F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1) & F.col("_f").isNotNull()).select("_g", "_k1", "_n", "_i"), "rarest")
+    first = first.join(lines.drop("_line"), "_k1")
+    left, right = _prefixed(first, "a"), _prefixed(first, "b")
+    near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - 1e-9
+    near &= F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) + 1 >= (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
+    met = left.join(right, (F.col("a_g") == F.col("b_g")) & (F.col("a_c") < F.col("b_c")) & near & _alike("a", "b"))
+    return met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct()
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """_k1, _n and _w0 ...: how many shingles a line has, repeats included, and a bit for the hash of each."""
+    coded = texts.select("_k1", F.encode("_line", "UTF-32").alias("_e"))
+    each = coded.select("_k1", "_e", F.explode(F.expr(f"sequence(0, greatest(0, cast(length(_e) div 4 as int) - {SHINGLE}))")).alias("_i"))
+    hashed = each.select("_k1", F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
+    bit = hashed.select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
+    return bit.groupBy("_k1").agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.bit_or(F.when(F.col("_w") == j, F.col("_bit"))), F.lit(0).cast("long")).alias(f"_w{j}") for j in range(MARKS)])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar.
+
+    Lines of n and m shingles and that similarity differ in (1 - threshold) / (1 + threshold) * (n + m) shingles at most,
+    and so in no more marks: pairs that do need no look at the texts.
+    """
+    left, right = (_prefixed(marks, k).withColumnRenamed(f"{k}_k1", k) for k in "ab")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}"))) for j in range(MARKS)])
+    pairs = pairs.join(left, "a").join(right, "b").where(apart <= (F.col("a_n") + F.col("b_n")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b")
+    left, right = (texts.select(F.col("_k1").alias(k), F.col("_line").alias(f"_{k}")) for k in "ab")
+    return written(pairs.join(left, "a").join(right, "b").where(_enough("_a", "_b", threshold)).select("a", "b"), "similar")
 
 
 def _components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, component) over _k1 for the lines that are similar to others."""
-    met = signed.select("_k1", F.posexplode("_bands").alias("_last", "_band"))
-    heads = met.groupBy("_band").agg(F.min("_k1").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    buckets = written(met.join(heads, "_band"), "buckets")
-    stars = written(_stars(buckets, signed.select("_k1", *_SKETCH)), "stars")
-    texts = written(_texts(docs, stars.select(F.col("a").alias("_k1")).union(stars.select("b")).distinct()), "lines")
-    left, right = (texts.select(F.col("_k1").alias(k), F.col("_line").alias(f"_{k}")) for k in "ab")
-    linked = written(stars.join(left, "a").join(right, "b").where(_enough("_a", "_b", threshold)).select("a", "b"), "similar")
+    met = signed.select("_k1", F.explode(F.array(*[_band(j) for j in range(BANDS)])).alias("_key"))
+    inside = Window.partitionBy("_key")
+    buckets = written(met.withColumns({"_head": F.min("_k1").over(inside), "_n": F.count(F.lit(1)).over(inside)}).where("_n > 1"), "buckets")
+    freed(docs.sparkSession)
+    stars = written(_stars(buckets, signed), "stars")
+    others = buckets.where("_n > 2 and _k1 <> _head").select("_key", "_k1")
+    wanted = others.select("_k1").union(stars.select("a")).union(stars.select("b")).distinct()
+    texts = written(_texts(docs, wanted), "lines")
+    marks = written(_marks(texts), "marks")
+    freed(docs.sparkSession)
+    linked = _similar(stars, texts, marks, threshold)
     found = written(connected_components(linked), "components")
-    rest = buckets.where("_n > 2 and _k1 <> _head").select(F.col("_band").alias("_key"), "_last", "_k1")
-    rest = rest.join(found, F.col("_k1") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_k1")).drop("node", "component")
-    rest = written(_parted(rest), "parted")
-    texts = _texts(docs, rest.select("_k1").distinct())
-    parted = rest.join(texts, "_k1").join(signed.drop("_k2"), "_k1").withColumn("_used", F.expr("shiftleft(1, _last)"))
-    parted = written(parted, "parted")
-    more = _across(parted, threshold)
+    parted = written(_parted(_placed(others, found)).join(signed, "_k1"), "parted")
+    freed(docs.sparkSession)
+    near = _similar(_neighbours(parted), texts, marks, threshold)
+    if not near.isEmpty():
+        linked = linked.union(near)
+        found = written(connected_components(linked), "components")
+        parted = written(_parted(_placed(parted.drop("_c", "_main"), found)), "parted")
+    freed(docs.sparkSession)
+    more = _similar(written(_across(parted, texts, threshold), "across"), texts, marks, threshold)
+    freed(docs.sparkSession)
     return found if more.isEmpty() else connected_components(linked.union(more))
 
 
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with _c, the component of their _k1."""
+    return rows.join(found, F.col("_k1") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_k1")).drop("node", "component")
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with text less its repeated lines, n_lines and n_kept (long): lines that are not blank, before and after.
 
@@ -183,8 +251,10 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     """
     df = df.drop("n_lines", "n_kept")
     docs = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    signed = written(signatures(_lines(docs), ["_k1", "_k2"]), "signatures")
-    found = _components(docs, signed, threshold)
+    signed = written(signatures(_lines(docs), ["_k1", "_k2"]).select("_k1", *_SKETCH), "signatures")
+    freed(df.sparkSession)
+    found = written(_components(docs, signed, threshold), "components")
+    freed(df.sparkSession)
     places = _lines(docs).groupBy("_k1", "_k2").agg(F.min(F.struct("_key", "_doc", "_pos")).alias("_at"))
     of = places.join(found, F.col("_k1") == F.col("node"), "left")
     group = [F.coalesce("component", "_k1").alias("_c"), F.when(F.col("component").isNull(), F.col("_k2")).alias("_k2")]

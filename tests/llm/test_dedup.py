@@ -187,6 +187,31 @@ def test_op2_large_buckets_are_split_and_lose_nothing(spark, monkeypatch):
     assert want == 12 and want <= kept <= want + 1
 
 
+def test_op2_lines_of_a_large_bucket_need_share_no_second_band(spark, monkeypatch):
+    """Lines of one bucket in components of their own: every similar pair is found, whatever their other bands."""
+    monkeypatch.setattr(lines, "CUT", 3)
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, texts = letters(60), []
+    for g in range(8):
+        own = letters(40)
+        for _ in range(5):
+            line = list(common + own)
+            for at in rng.sample(range(100), rng.randint(1, 3)):
+                line[at] = rng.choice("0123456789")
+            texts.append("".join(line))
+    sets = [shingles(x) for x in texts]
+    similar = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if similar(i, j)}
+    # one band in common and nothing known of the others: the sketches are those of lines that agree in LIKE places
+    rows = [(0, i, i, 0, 0, *[-1] * 4, x) for i, x in enumerate(texts)]
+    parted = spark.createDataFrame(rows, "_key long, _k1 long, _c long, _main long, _n long, _s0 long, _s1 long, _s2 long, _s3 long, _line string")
+    signed = parted.drop("_n", "_line").withColumn("_s0", F.when(F.col("_k1") % 2 == 0, F.lit(-1)).otherwise(F.lit(0x7FFFFFFFFFFFFFFF)))
+    met = lines._across(signed, parted.select("_k1", "_line"), 0.8)
+    found = lines._similar(met, parted.select("_k1", "_line"), lines._marks(parted.select("_k1", "_line")), 0.8)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == want and 0 < len(want) < 200
+
+
 def test_op10_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(0)
