@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from loadspan.kernels import clustering, evaluation, signals
 from loadspan.kernels.segmenting import BinarySegmentation
-from loadspan.kernels.selfsim import _predicted, dtw, nearest_windows, profile, smallest, window_stats, windows
+from loadspan.kernels.selfsim import _predicted, dtw, dtw_pairs, nearest_windows, profile, smallest, window_stats, windows
 from loadspan.kernels.stream import StreamingSegmentation
 from loadspan.kernels.widths import WIDTHS, dominant_fourier_frequency, highest_autocorrelation, suss
 
@@ -143,3 +143,9 @@ def test_clusterings_of_blobs():
     assert same(clustering.dbscan(d, 1.0, 3)) and same(clustering.hdbscan(x, 5))
     assert (clustering.dbscan(d, 1e-9, 3) == -1).all()
     assert window_stats(np.ones(5), 2)[1].tolist() == [1.0] * 4
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 6), (7, 4)])
+def test_dtw_of_many_pairs(n, m):
+    a, b = RNG.normal(size=(5, n)), RNG.normal(size=(3, m))
+    assert dtw_pairs(a, b) == pytest.approx(np.array([[dtw(s, t) for t in b] for s in a]))
