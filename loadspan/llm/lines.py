@@ -10,7 +10,7 @@ similarity over the shingles themselves.
 Within a bucket every line meets the least line first, and then its neighbours in two orders of the sketches, which gives
 a few pairs a line and bucket. Buckets that this leaves in several components are gone through again: their lines outside the main component meet all lines of other components.
 Where these are more than CUT, the bucket's lines meet by their rarest shingles instead, so many that two similar lines
-share one (prefix filter), which leaves out no similar pair. Components come from distributed union-find, and the first
+share one (prefix filter), which leaves out no similar pair. A line's shingles are put in order within its row. Components come from distributed union-find, and the first
 line (least document key, then position) of each component stays.
 
 Texts are fetched once, for the lines that may have to be compared, and are looked at only for pairs that are candidates.
@@ -36,6 +36,10 @@ BANDS = RANGES // ROWS
 KEPT = 3
 LIKE = 20
 CUT = 32
+#: Lines whose shingles are counted to tell which are rare (any order of them is right), and the hash values that they are counted by.
+COUNTED, SLOTS = 20_000, 1 << 15
+#: Rows of rare shingles that are shuffled at once, in so many parts at most.
+PART_ROWS, PARTS = 2_000_000, 8
 #: Bits of the filter that keeps other lines' texts out of the shuffle; its table is FILTER_BITS / 8 bytes at most.
 FILTER_BITS = 1 << 23
 #: Words of 64 bits in which a line's shingles are marked, to tell which pairs cannot be similar.
@@ -171,28 +175,62 @@ def _by_rarest(lines: DataFrame, threshold: float) -> DataFrame:
 
     In any one order of all shingles, two lines of n and m shingles and that similarity share one of their first
     n - threshold * n + 1 and m - threshold * m + 1, and behind the first shared one enough are left in both lines for
-    as many as they must share. Their numbers of shingles are as near as the similarity, too.
+    as many as they must share. Their numbers of shingles are as near as the similarity, too. A line's shingles are put
+    in order within its row, and the shared ones are looked for in up to PARTS parts, so that little is shuffled at once.
     """
-    grams = lines.select("_k1", "_c", F.explode(F.array_distinct(_grams(F.col("_line")))).alias("_g")).select("_k1", "_c", F.xxhash64("_g").alias("_g"))
-    often = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    of = Window.partitionBy("_k1")
-    ranked = grams.join(often.where("_f > 1"), "_g", "left").withColumns({"_i": F.row_number().over(of.orderBy(F.coalesce("_f", F.lit(1)), "_g")), "_n": F.count(F.lit(1)).over(of)})
-    # a shingle of one line only is met by none
-    first = written(ranked.where((F.col("_i") <= F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1) & F.col("_f").isNotNull()).select("_g", "_k1", "_n", "_i"), "rarest")
-    first = first.join(lines.drop("_line"), "_k1")
-    left, right = _prefixed(first, "a"), _prefixed(first, "b")
+    n = lines.count()
+    key = _ordered(_frequency(lines, max(1, n // COUNTED)))
+    ranked = lines.select("_k1", "_c", *_SKETCH, key.alias("_all")).withColumn("_n", F.size("_all"))
+    first = ranked.withColumn("_all", F.slice("_all", 1, F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9).cast("int") + 1))
+    first = written(first.select("_k1", "_c", *_SKETCH, "_n", F.posexplode("_all").alias("_i", "_g")), "rarest")
     near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - 1e-9
-    near &= F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) + 1 >= (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
-    met = left.join(right, (F.col("a_g") == F.col("b_g")) & (F.col("a_c") < F.col("b_c")) & near & _alike("a", "b"))
-    return met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct()
+    near &= F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
+    parts, found = min(PARTS, 1 + first.count() // PART_ROWS), None
+    for j in range(parts):
+        some = first.where(F.pmod("_g", F.lit(parts)) == j)
+        left, right = _prefixed(some, "a"), _prefixed(some, "b")
+        met = left.join(right, (F.col("a_g") == F.col("b_g")) & (F.col("a_c") < F.col("b_c")) & near & _alike("a", "b"))
+        met = met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct()
+        if parts > 1:
+            met = written(met, "met")
+            freed(lines.sparkSession)
+        found = met if found is None else found.union(met)
+    return found.distinct() if parts > 1 else found
+
+
+def _shingle_hashes(lines: DataFrame, *columns: str) -> DataFrame:
+    """columns and _h, the hash of a shingle, for each shingle of each line, repeats included."""
+    coded = lines.select(*columns, F.encode("_line", "UTF-32").alias("_e"))
+    each = coded.select(*columns, "_e", F.explode(F.expr(f"sequence(0, greatest(0, cast(length(_e) div 4 as int) - {SHINGLE}))")).alias("_i"))
+    return each.select(*columns, F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
+
+
+def _frequency(lines: DataFrame, step: int) -> bytes:
+    """How often shingles of every step-th line have each of SLOTS hash values, as a byte of up to 127: twelve times the binary logarithm.
+
+    It says in which order shingles are tried; any order finds the same pairs.
+    """
+    some = _shingle_hashes(lines.where(F.pmod("_k1", F.lit(step)) == 0))
+    counts = some.groupBy(F.col("_h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("_s")).agg(F.least(F.lit(127.0), 12 * F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("_f"))
+    out = bytearray(SLOTS)
+    for r in counts.collect():
+        out[r["_s"]] = r["_f"]
+    return bytes(out)
+
+
+def _ordered(frequency: bytes) -> Column:
+    """array<long>: a number for each distinct shingle of _line, ascending; 7 bits of it are its frequency, the others its hash's."""
+    held = F.lit(frequency)
+    often = lambda h: F.ascii(F.substring(held, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    at = lambda e: F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(e) / 4).cast("int") - SHINGLE))
+    # an array of one binds the coded line, which would be coded again for each shingle
+    hashes = F.transform(F.array(F.encode("_line", "UTF-32")), lambda e: F.transform(at(e), lambda i: F.xxhash64(F.substring(e, 4 * i + 1, F.lit(4 * SHINGLE)))))[0]
+    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(often(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _marks(texts: DataFrame) -> DataFrame:
     """_k1, _n and _w0 ...: how many shingles a line has, repeats included, and a bit for the hash of each."""
-    coded = texts.select("_k1", F.encode("_line", "UTF-32").alias("_e"))
-    each = coded.select("_k1", "_e", F.explode(F.expr(f"sequence(0, greatest(0, cast(length(_e) div 4 as int) - {SHINGLE}))")).alias("_i"))
-    hashed = each.select("_k1", F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
-    bit = hashed.select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
+    bit = _shingle_hashes(texts, "_k1").select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
     return bit.groupBy("_k1").agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.bit_or(F.when(F.col("_w") == j, F.col("_bit"))), F.lit(0).cast("long")).alias(f"_w{j}") for j in range(MARKS)])
 
 

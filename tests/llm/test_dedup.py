@@ -212,6 +212,26 @@ def test_op2_lines_of_a_large_bucket_need_share_no_second_band(spark, monkeypatc
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == want and 0 < len(want) < 200
 
 
+def test_op2_rarest_shingles_are_found_within_rows_and_joined_in_parts(spark, monkeypatch):
+    """No similar pair is lost by the counted sample or the parts, and no list of all shingles is shuffled."""
+    plans, write = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    monkeypatch.setattr(lines, "COUNTED", 3)
+    monkeypatch.setattr(lines, "PART_ROWS", 100)
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = letters(60)
+    texts = ["ab", "", "日本語 ß", common]
+    for own in (letters(30), letters(35), "日本" * 15):
+        texts += [f"{common} {own}"[:k] + letters(2) + f"{common} {own}"[k:] for k in (5, 40, 70, 90)]
+    sets = [shingles(x) for x in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame([(i, i, -1, -1, -1, -1, x) for i, x in enumerate(texts)], "_k1 long, _c long, _s0 long, _s1 long, _s2 long, _s3 long, _line string")
+    met = {(r.a, r.b) for r in lines._by_rarest(rows, 0.8).collect()}
+    assert len(want) > 10 and want <= met
+    assert "Exchange" not in plans["rarest"] and "met" in plans
+
+
 def test_op10_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(0)
