@@ -120,7 +120,7 @@ class ChunkEncoder:
         chunks = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data))
         coded = chunks.dictionary_encode()
         codes = np.asarray(coded.indices)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # as to_pylist(), without a scalar each
         known, elder = self.known, self.elder
         got = [known.get(w) for w in words]
         if elder:

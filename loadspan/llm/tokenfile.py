@@ -48,6 +48,7 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     made = 0
+    number_of = np.zeros(1 << _BUCKET_BITS, np.int32)
     while True:
         room = most_symbols - base - made
         if len(sequence) < 2 or room <= 0:
@@ -61,10 +62,13 @@ def compress(ids: np.ndarray, base: int, most_symbols: int = 1 << 16) -> tuple[n
         found, counts = found[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
         if not len(found):
             break
-        best = np.sort(found[np.argsort(-counts, kind="stable")[: min(room, max(256, len(found) // 2))]])
-        place = np.searchsorted(best, key_maybe)
-        place[place == len(best)] = 0
+        best = found[np.argsort(-counts, kind="stable")[: min(room, max(256, len(found) // 2))]]
+        # one pair a bucket, the most frequent: the others wait for a later round
+        slot = (best * kind(0x9E3779B97F4A7C15 >> (64 - bits)) >> kind(bits - _BUCKET_BITS)).astype(np.intp)
+        number_of[slot[::-1]] = np.arange(len(best))[::-1]
+        place = number_of[bucket[maybe]]
         chosen = best[place] == key_maybe
+        number_of[slot] = 0
         at, place = maybe[chosen], place[chosen]
         # of pairs that overlap in a run, every other one is replaced, from the left
         fresh = np.concatenate([[True], np.diff(at) > 1])

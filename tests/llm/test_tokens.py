@@ -152,3 +152,12 @@ def test_op9_odd_rows(spark, odd_documents):
     check_bins([(r.sequence_id, r.offset, r.length) for r in rows], 4096)
     assert sum(r.doc_id == 1 for r in rows) == 2 and sum(r.doc_id == 4 for r in rows) == 8
     assert packing.packed(odd_documents.limit(0), P.path("word_bpe_49k.json"), 1, 4096).count() == 0
+
+
+def test_op5_pairs_are_looked_up_without_a_search(monkeypatch):
+    """Pairs whose numbers fall together wait for a later round, and none is left out."""
+    ids = np.tile(np.random.default_rng(1).integers(0, 50, 300), 30)
+    monkeypatch.setattr(tokenfile, "_BUCKET_BITS", 3)
+    monkeypatch.delattr(np, "searchsorted")
+    rules, lengths, sequence = tokenfile.compress(ids, 50)
+    assert (tokenfile.expand(sequence, 50, rules, lengths) == ids).all() and 12 * len(rules) + 2 * len(sequence) < 2 * len(ids)
