@@ -7,8 +7,10 @@ line; BANDS bands of ROWS bytes of it are the buckets in which lines meet. Pairs
 places of 32 are no candidates (at a similarity of 0.8 about 26 agree); all others are decided by exact Jaccard
 similarity over the shingles themselves.
 
-Within a bucket every line meets the least line first, and then its neighbours in two orders of the sketches, which gives
-a few pairs a line and bucket. Buckets that this leaves in several components are gone through again: their lines outside the main component meet all lines of other components.
+Lines that are in a bucket with none that is alike by sketch leave it before any text is fetched. In what is left of a bucket
+every line meets the least line first, and then its neighbours in two orders of the sketches, which gives
+a few pairs a line and bucket. Buckets that this leaves in several components are gone through again: their lines outside the main
+component meet all lines of other components, and pairs are made only of lines whose marks leave it open whether they are similar.
 Where these are more than CUT, the bucket's lines meet by their rarest shingles instead, so many that two similar lines
 share one (prefix filter), which leaves out no similar pair. A line's shingles are put in order within its row. Components come from distributed union-find, and the first
 line (least document key, then position) of each component stays.
@@ -19,6 +21,7 @@ Lines are told apart by two 64-bit hashes; in the graph by the first of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +38,7 @@ BANDS = RANGES // ROWS
 #: Hashes of a range that are looked at, on average; of a longer line the higher ones cannot be the least but in e ** -KEPT of all ranges, which borrow.
 KEPT = 3
 LIKE = 20
-CUT = 32
+CUT = 4096
 #: Lines whose shingles are counted to tell which are rare (any order of them is right), and the hash values that they are counted by.
 COUNTED, SLOTS = 20_000, 1 << 15
 #: Rows of rare shingles that are shuffled at once, in so many parts at most.
@@ -46,6 +49,8 @@ FILTER_BITS = 1 << 23
 MARKS = 32
 _BLANK = " \t\x0b\x0c\r"
 _SKETCH = ["_s0", "_s1", "_s2", "_s3"]
+#: Columns that are aggregated at once.
+WIDTH = 8
 
 
 def signatures(lines: DataFrame, by: list[str], line: str = "_line") -> DataFrame:
@@ -61,7 +66,7 @@ def signatures(lines: DataFrame, by: list[str], line: str = "_line") -> DataFram
     each = sized.select(*by, "_e", "_bar", F.explode("_at").alias("_i"))
     hashed = each.select(*by, "_bar", F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
     low = hashed.select(*by, "_bar", F.col("_h").bitwiseAND(F.lit((1 << bits) - 1)).alias("_v"), F.shiftrightunsigned("_h", bits).cast("int").alias("_r")).where("_v < _bar")
-    least = low.groupBy(*by).agg(*[F.min(F.when(F.col("_r") == j, F.col("_v"))).alias(f"_m{j}") for j in range(RANGES)])
+    least = _by_column(low, by, F.col("_r"), lambda mine: F.min(F.when(mine, F.col("_v"))), F.min, "_m", RANGES)
     least = least.withColumn("_least", F.least(*[F.col(f"_m{j}") for j in range(RANGES)]))
     # where an empty range borrows, in turn; lines of few shingles borrow the least of all in the end
     lent = [0, 11, 5, 21, 14, 29, 3, 18]
@@ -72,6 +77,18 @@ def signatures(lines: DataFrame, by: list[str], line: str = "_line") -> DataFram
     return picked.select(*by, *packed).select(*by, F.array(*[_band(j) for j in range(BANDS)]).alias("_bands"), *_SKETCH)
 
 
+def _by_column(rows: DataFrame, by: list[str], at: Column, of: Callable[[Column], Column], over: Callable[[Column], Column], name: str, n: int) -> DataFrame:
+    """by, _n (rows) and columns name0 ...: of(condition) over the rows of each by whose number at, below n, is the column's.
+
+    Rows are aggregated by WIDTH columns at once, as an aggregate of more costs each row a look at all of them; over puts
+    the parts together.
+    """
+    parts = n // WIDTH
+    some = rows.withColumn("_at", at.cast("int")).groupBy(*by, F.pmod("_at", F.lit(parts)).alias("_part"))
+    some = some.agg(F.count(F.lit(1)).alias("_n"), *[of(F.expr(f"_at div {parts}") == i).alias(f"_c{i}") for i in range(WIDTH)])
+    return some.groupBy(*by).agg(F.sum("_n").alias("_n"), *[over(F.when(F.col("_part") == j % parts, F.col(f"_c{j // parts}"))).alias(f"{name}{j}") for j in range(n)])
+
+
 def _band(j: int, prefix: str = "") -> Column:
     """The j-th bucket of a line: ROWS bytes of its sketch, and j above them."""
     bits = 8 * ROWS
@@ -127,11 +144,23 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _stars(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+def _alike_rows(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(_key, _head, _k1 and the sketch) for the lines of each bucket that are alike to another line of it; _head is the least of them.
+
+    A line meets others until one is alike, and gives one row at most.
+    """
+    rows = buckets.join(sketches.select("_k1", *_SKETCH), "_k1").select("_key", "_k1", *_SKETCH)
+    left, right = _prefixed(rows, "a"), _prefixed(rows, "b")
+    found = left.join(right, (F.col("a_key") == F.col("b_key")) & (F.col("a_k1") != F.col("b_k1")) & _alike("a", "b"), "left_semi")
+    found = found.withColumn("a_head", F.min("a_k1").over(Window.partitionBy("a_key")))
+    return found.select([F.col("a" + c).alias(c) for c in ("_key", "_head", "_k1", *_SKETCH)])
+
+
+def _stars(rows: DataFrame) -> DataFrame:
     """(a, b): each line of a bucket with its least line, where the sketches are alike."""
-    pairs = buckets.where("_k1 <> _head").select(F.col("_head").alias("a"), F.col("_k1").alias("b")).distinct()
-    left, right = _prefixed(sketches, "a"), _prefixed(sketches, "b")
-    return pairs.join(left, F.col("a") == F.col("a_k1")).join(right, F.col("b") == F.col("b_k1")).where(_alike("a", "b")).select("a", "b")
+    left, right = _prefixed(rows.where("_k1 = _head"), "a"), _prefixed(rows.where("_k1 <> _head"), "b")
+    met = left.join(right, (F.col("a_key") == F.col("b_key")) & _alike("a", "b"))
+    return met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct()
 
 
 def _parted(rows: DataFrame) -> DataFrame:
@@ -151,23 +180,27 @@ def _neighbours(parted: DataFrame) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(parted: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _across(parted: DataFrame, texts: DataFrame, threshold: float, marks: DataFrame | None = None) -> DataFrame:
     """(a, b): lines of one bucket but of different components that may be similar.
 
-    A bucket's lines outside its main component meet all lines of other components, if they are CUT at most; larger
-    buckets' lines meet by their rarest shingles. parted: (_key, _k1, _c, _main and the sketch).
+    A bucket's lines outside its main component meet all lines of other components, if they are CUT at most, and make a
+    pair where their marks allow it; larger buckets' lines meet by their rarest shingles. parted: (_key, _k1, _c, _main
+    and the sketch).
     """
+    marks = _marks(texts) if marks is None else marks
     sizes = parted.where("_c <> _main").groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
     small, large = (sizes.where(x).select("_key") for x in (F.col("_m") <= CUT, F.col("_m") > CUT))
-    left = _prefixed(parted.where("_c <> _main").join(small, "_key", "left_semi"), "a")
+    marked = parted.join(small, "_key", "left_semi").join(marks.withColumnRenamed("_n", "_shingles"), "_k1")
+    left = _prefixed(marked.where("_c <> _main"), "a")
     meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_k1") < F.col("b_k1")))
     # a pair counts in the first bucket that it shares only
     at = F.shiftrightunsigned("a_key", 8 * ROWS)
     for j in range(BANDS - 1):
         meet &= (at <= j) | (_band(j, "a") != _band(j, "b"))
-    found = left.join(_prefixed(parted, "b"), meet & _alike("a", "b")).select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
+    meet &= _alike("a", "b") & _near("a", "b", "_shingles", threshold)
+    found = left.join(_prefixed(marked, "b"), meet).select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
     wide = written(parted.join(large, "_key", "left_semi").select("_k1", "_c", *_SKETCH).distinct().join(texts, "_k1"), "large")
-    return found if wide.isEmpty() else found.union(_by_rarest(wide, threshold)).distinct()
+    return found if wide.isEmpty() else found.union(_open(_by_rarest(wide, threshold), marks, threshold)).distinct()
 
 
 def _by_rarest(lines: DataFrame, threshold: float) -> DataFrame:
@@ -231,18 +264,29 @@ def _ordered(frequency: bytes) -> Column:
 def _marks(texts: DataFrame) -> DataFrame:
     """_k1, _n and _w0 ...: how many shingles a line has, repeats included, and a bit for the hash of each."""
     bit = _shingle_hashes(texts, "_k1").select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
-    return bit.groupBy("_k1").agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.bit_or(F.when(F.col("_w") == j, F.col("_bit"))), F.lit(0).cast("long")).alias(f"_w{j}") for j in range(MARKS)])
+    marks = _by_column(bit, ["_k1"], F.col("_w"), lambda mine: F.bit_or(F.when(mine, F.col("_bit"))), F.bit_or, "_w", MARKS)
+    return marks.select("_k1", "_n", *[F.coalesce(f"_w{j}", F.lit(0).cast("long")).alias(f"_w{j}") for j in range(MARKS)])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar.
+def _near(a: str, b: str, n: str, threshold: float) -> Column:
+    """Whether the marks in the columns of these prefixes leave it open that the lines are similar.
 
     Lines of n and m shingles and that similarity differ in (1 - threshold) / (1 + threshold) * (n + m) shingles at most,
-    and so in no more marks: pairs that do need no look at the texts.
+    and so in no more marks.
     """
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{a}_w{j}").bitwiseXOR(F.col(f"{b}_w{j}"))) for j in range(MARKS)])
+    return apart <= (F.col(a + n) + F.col(b + n)) * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def _open(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that may be similar by their marks."""
     left, right = (_prefixed(marks, k).withColumnRenamed(f"{k}_k1", k) for k in "ab")
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}"))) for j in range(MARKS)])
-    pairs = pairs.join(left, "a").join(right, "b").where(apart <= (F.col("a_n") + F.col("b_n")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_near("a", "b", "_n", threshold)).select("a", "b")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame | None, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar; those that are ruled out by their marks need no look at the texts. No marks: they have been looked at."""
+    pairs = pairs if marks is None else _open(pairs, marks, threshold)
     left, right = (texts.select(F.col("_k1").alias(k), F.col("_line").alias(f"_{k}")) for k in "ab")
     return written(pairs.join(left, "a").join(right, "b").where(_enough("_a", "_b", threshold)).select("a", "b"), "similar")
 
@@ -250,18 +294,17 @@ def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: fl
 def _components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(node, component) over _k1 for the lines that are similar to others."""
     met = signed.select("_k1", F.explode(F.array(*[_band(j) for j in range(BANDS)])).alias("_key"))
-    inside = Window.partitionBy("_key")
-    buckets = written(met.withColumns({"_head": F.min("_k1").over(inside), "_n": F.count(F.lit(1)).over(inside)}).where("_n > 1"), "buckets")
+    buckets = written(met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1").select("_key", "_k1"), "buckets")
+    freed(docs.sparkSession)
+    rows = written(_alike_rows(buckets, signed), "alike")
     freed(docs.sparkSession)
-    stars = written(_stars(buckets, signed), "stars")
-    others = buckets.where("_n > 2 and _k1 <> _head").select("_key", "_k1")
-    wanted = others.select("_k1").union(stars.select("a")).union(stars.select("b")).distinct()
-    texts = written(_texts(docs, wanted), "lines")
+    texts = written(_texts(docs, rows.select("_k1").distinct()), "lines")
     marks = written(_marks(texts), "marks")
     freed(docs.sparkSession)
-    linked = _similar(stars, texts, marks, threshold)
+    linked = _similar(_stars(rows), texts, marks, threshold)
+    freed(docs.sparkSession)
     found = written(connected_components(linked), "components")
-    parted = written(_parted(_placed(others, found)).join(signed, "_k1"), "parted")
+    parted = written(_parted(_placed(rows.drop("_head"), found)), "parted")
     freed(docs.sparkSession)
     near = _similar(_neighbours(parted), texts, marks, threshold)
     if not near.isEmpty():
@@ -269,7 +312,7 @@ def _components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFra
         found = written(connected_components(linked), "components")
         parted = written(_parted(_placed(parted.drop("_c", "_main"), found)), "parted")
     freed(docs.sparkSession)
-    more = _similar(written(_across(parted, texts, threshold), "across"), texts, marks, threshold)
+    more = _similar(written(_across(parted, texts, threshold, marks), "across"), texts, None, threshold)
     freed(docs.sparkSession)
     return found if more.isEmpty() else connected_components(linked.union(more))
 

@@ -232,6 +232,23 @@ def test_op2_rarest_shingles_are_found_within_rows_and_joined_in_parts(spark, mo
     assert "Exchange" not in plans["rarest"] and "met" in plans
 
 
+def test_op2_pairs_of_a_bucket_are_made_of_lines_that_may_be_similar(spark):
+    """Lines of one bucket that are alike by sketch but not similar make no pairs, and lines alike to no other leave the bucket."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = letters(100)
+    texts = [common + letters(60) for _ in range(20)]
+    texts += [texts[0][:150] + letters(10), texts[3][:155] + letters(5)]
+    rows = [(0, i, i, 0, *[-1] * 4, x) for i, x in enumerate(texts)]
+    parted = spark.createDataFrame(rows, "_key long, _k1 long, _c long, _main long, _s0 long, _s1 long, _s2 long, _s3 long, _line string")
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in lines._across(parted.drop("_line"), parted.select("_k1", "_line"), 0.8).collect()}
+    assert {(0, 20), (3, 21)} <= met and len(met) < 10  # of 231
+    sketches = spark.createDataFrame([(1, 0, 0, 0, 0), (2, 0, 0, 0, 255), (3, 0, -1, -1, -1)], "_k1 long, _s0 long, _s1 long, _s2 long, _s3 long")
+    stay = lines._alike_rows(sketches.selectExpr("0L as _key", "_k1"), sketches)
+    assert {(r._k1, r._head) for r in stay.collect()} == {(1, 1), (2, 1)}
+    assert [(r.a, r.b) for r in lines._stars(stay).collect()] == [(1, 2)]
+
+
 def test_op10_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(0)
