@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from loadspan.llm.components import connected_components
-from loadspan.llm.tables import freed, written
+from loadspan.llm.tables import written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -62,8 +62,9 @@ def signatures(lines: DataFrame, by: list[str], line: str = "_line") -> DataFram
     bits = 64 - (RANGES.bit_length() - 1)
     coded = lines.select(*by, F.encode(line, "UTF-32").alias("_e"))
     n = F.greatest(F.lit(1), F.expr(f"length(_e) div 4 - {SHINGLE - 1}"))
-    sized = coded.select(*by, "_e", (F.sequence(F.lit(0), n - 1)).alias("_at"), (F.lit(2.0**bits) * F.least(F.lit(1.0), F.lit(float(KEPT * RANGES)) / n)).cast("long").alias("_bar"))
-    each = sized.select(*by, "_e", "_bar", F.explode("_at").alias("_i"))
+    # neither null nor a column of its own to explode: Spark would filter by them first, and code each line once more for that
+    bar = F.coalesce((F.lit(2.0**bits) * F.least(F.lit(1.0), F.lit(float(KEPT * RANGES)) / n)).cast("long"), F.lit(0).cast("long"))
+    each = coded.select(*by, "_e", bar.alias("_bar"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
     hashed = each.select(*by, "_bar", F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
     low = hashed.select(*by, "_bar", F.col("_h").bitwiseAND(F.lit((1 << bits) - 1)).alias("_v"), F.shiftrightunsigned("_h", bits).cast("int").alias("_r")).where("_v < _bar")
     least = _by_column(low, by, F.col("_r"), lambda mine: F.min(F.when(mine, F.col("_v"))), F.min, "_m", RANGES)
@@ -81,11 +82,11 @@ def _by_column(rows: DataFrame, by: list[str], at: Column, of: Callable[[Column]
     """by, _n (rows) and columns name0 ...: of(condition) over the rows of each by whose number at, below n, is the column's.
 
     Rows are aggregated by WIDTH columns at once, as an aggregate of more costs each row a look at all of them; over puts
-    the parts together.
+    the parts together. n / WIDTH is a power of two. Rows that were dealt out by some of the columns by are not shuffled.
     """
     parts = n // WIDTH
-    some = rows.withColumn("_at", at.cast("int")).groupBy(*by, F.pmod("_at", F.lit(parts)).alias("_part"))
-    some = some.agg(F.count(F.lit(1)).alias("_n"), *[of(F.expr(f"_at div {parts}") == i).alias(f"_c{i}") for i in range(WIDTH)])
+    some = rows.withColumn("_at", at.cast("int")).groupBy(*by, F.col("_at").bitwiseAND(F.lit(parts - 1)).alias("_part"))
+    some = some.agg(F.count(F.lit(1)).alias("_n"), *[of(F.shiftright("_at", parts.bit_length() - 1) == i).alias(f"_c{i}") for i in range(WIDTH)])
     return some.groupBy(*by).agg(F.sum("_n").alias("_n"), *[over(F.when(F.col("_part") == j % parts, F.col(f"_c{j // parts}"))).alias(f"{name}{j}") for j in range(n)])
 
 
@@ -113,13 +114,24 @@ def _grams(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(grams)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(_key, _doc, _pos, _line, _k1, _k2) for each line with a character that is not white space; docs: (_key, _text)."""
-    split = docs.select("_key", F.xxhash64("_text").alias("_doc"), F.posexplode(F.split("_text", "\n")).alias("_pos", "_raw"))
-    lines = split.withColumn("_line", F.lower(F.btrim("_raw", F.lit(_BLANK)))).where("_line <> ''").drop("_raw")
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
+    """(_key, _doc, _pos, _line, _k1, _k2) and the columns more for each line with a character that is not white space; docs: (_key, _text, more)."""
+    split = docs.select(*more, "_key", F.xxhash64("_text").alias("_doc"), F.posexplode(F.split("_text", "\n")).alias("_pos", "_raw"))
+    lines = split.withColumn("_raw", F.btrim("_raw", F.lit(_BLANK))).where("_raw <> ''").withColumn("_line", F.lower("_raw")).drop("_raw")
     return lines.withColumns({"_k1": F.xxhash64("_line"), "_k2": F.xxhash64("_line", F.lit(1))})
 
 
+def _signed(docs: DataFrame) -> DataFrame:
+    """(_k1 and the sketch) for each distinct line.
+
+    Rows of docs are dealt out before they are split: a line's shingles are aggregated within its task, so that what is
+    shuffled is the texts once and 40 bytes a line, not the least hashes of all ranges. Equal lines have equal sketches.
+    """
+    dealt = docs.select(F.lit(0).alias("_key"), "_text", F.monotonically_increasing_id().alias("_row")).repartition("_row")
+    signed = signatures(_lines(dealt, "_row"), ["_row", "_k1"])
+    return signed.groupBy("_k1").agg(*[F.min(s).alias(s) for s in _SKETCH])
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(_k1, _line) for the wanted _k1. A bitmap of bounded size keeps most other lines out of the shuffle."""
     slot = F.pmod("_k1", F.lit(FILTER_BITS))
@@ -226,7 +238,6 @@ def _by_rarest(lines: DataFrame, threshold: float) -> DataFrame:
         met = met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct()
         if parts > 1:
             met = written(met, "met")
-            freed(lines.sparkSession)
         found = met if found is None else found.union(met)
     return found.distinct() if parts > 1 else found
 
@@ -295,25 +306,18 @@ def _components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFra
     """(node, component) over _k1 for the lines that are similar to others."""
     met = signed.select("_k1", F.explode(F.array(*[_band(j) for j in range(BANDS)])).alias("_key"))
     buckets = written(met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1").select("_key", "_k1"), "buckets")
-    freed(docs.sparkSession)
     rows = written(_alike_rows(buckets, signed), "alike")
-    freed(docs.sparkSession)
     texts = written(_texts(docs, rows.select("_k1").distinct()), "lines")
     marks = written(_marks(texts), "marks")
-    freed(docs.sparkSession)
     linked = _similar(_stars(rows), texts, marks, threshold)
-    freed(docs.sparkSession)
     found = written(connected_components(linked), "components")
     parted = written(_parted(_placed(rows.drop("_head"), found)), "parted")
-    freed(docs.sparkSession)
     near = _similar(_neighbours(parted), texts, marks, threshold)
     if not near.isEmpty():
         linked = linked.union(near)
         found = written(connected_components(linked), "components")
         parted = written(_parted(_placed(parted.drop("_c", "_main"), found)), "parted")
-    freed(docs.sparkSession)
     more = _similar(written(_across(parted, texts, threshold, marks), "across"), texts, None, threshold)
-    freed(docs.sparkSession)
     return found if more.isEmpty() else connected_components(linked.union(more))
 
 
@@ -332,10 +336,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     """
     df = df.drop("n_lines", "n_kept")
     docs = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    signed = written(signatures(_lines(docs), ["_k1", "_k2"]).select("_k1", *_SKETCH), "signatures")
-    freed(df.sparkSession)
+    signed = written(_signed(docs), "signatures")
     found = written(_components(docs, signed, threshold), "components")
-    freed(df.sparkSession)
     places = _lines(docs).groupBy("_k1", "_k2").agg(F.min(F.struct("_key", "_doc", "_pos")).alias("_at"))
     of = places.join(found, F.col("_k1") == F.col("node"), "left")
     group = [F.coalesce("component", "_k1").alias("_c"), F.when(F.col("component").isNull(), F.col("_k2")).alias("_k2")]

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -249,6 +251,25 @@ def test_op2_pairs_of_a_bucket_are_made_of_lines_that_may_be_similar(spark):
     assert [(r.a, r.b) for r in lines._stars(stay).collect()] == [(1, 2)]
 
 
+def test_op2_shuffle_files_go_with_their_query_and_signatures_shuffle_no_hashes(spark):
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for f in Path(d.getPath()).glob("*/shuffle_*.data")}
+
+    docs = spark.createDataFrame([(i, f"line {i % 7} of a text\n\nline {i}, which is longer") for i in range(40)] + [(40, None), (None, "")], "_key long, _text string")
+    signed, before = lines._signed(docs), files()
+    # the texts once and one sketch a line, not the least hashes of all ranges
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["_k1", "_row"]
+    table = lines.written(signed, "signatures")
+    for _ in range(50):  # Spark does not wait for it
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert table.count() == 47
+
+
 def test_op10_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(0)
