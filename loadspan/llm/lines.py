@@ -5,7 +5,7 @@ shingle's hash falls into one of RANGES ranges, and the least hash of each range
 empty range borrows from the others in a fixed order). One byte of each value is the sketch, which costs 32 bytes a
 line; BANDS bands of ROWS bytes of it are the buckets in which lines meet. Pairs whose sketches agree in fewer than LIKE
 places of 32 are no candidates (at a similarity of 0.8 about 26 agree); all others are decided by exact Jaccard
-similarity over the shingles themselves.
+similarity over all their shingles, which are told apart by 64-bit hashes, as lines are.
 
 Lines that are in a bucket with none that is alike by sketch leave it before any text is fetched. In what is left of a bucket
 every line meets the least line first, and then its neighbours in two orders of the sketches, which gives
@@ -109,9 +109,11 @@ def _alike(a: str, b: str) -> Column:
     return reduce(Column.__add__, map(other, _SKETCH)) <= RANGES - LIKE
 
 
-def _grams(line: Column) -> Column:
-    grams = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(grams)
+def _hashes(line: Column) -> Column:
+    """array<long>: the hash of each shingle of a line, repeats included; a line shorter than a shingle is one."""
+    at = lambda e: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(e) - (4 * SHINGLE - 1)), F.lit(4))
+    # an array of one binds the coded line, which would be coded again for each shingle
+    return F.transform(F.array(F.encode(line, "UTF-32")), lambda e: F.transform(at(e), lambda i: F.xxhash64(F.substring(e, i, F.lit(4 * SHINGLE)))))[0]
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -136,20 +138,21 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(_k1, _line) for the wanted _k1. A bitmap of bounded size keeps most other lines out of the shuffle."""
     slot = F.pmod("_k1", F.lit(FILTER_BITS))
     bitmap = wanted.select(slot.alias("v")).groupBy(F.expr("bitmap_bucket_number(v)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("_bits"))
-    lines = _lines(docs).select("_k1", "_line", slot.alias("v")).withColumns({"_bucket": F.expr("bitmap_bucket_number(v)"), "_bit": F.expr("bitmap_bit_position(v)")})
+    lines = _lines(docs).select("_k1", "_line", slot.alias("v"))
+    # never null: Spark would filter by that first, and hash each line once more for it
+    lines = lines.withColumns({c: F.coalesce(F.expr(f"{f}(v)"), F.lit(-1).cast("long")) for c, f in (("_bucket", "bitmap_bucket_number"), ("_bit", "bitmap_bit_position"))})
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     # at most FILTER_BITS / 32768 + 1 rows of 4 KB
     near = lines.join(F.broadcast(bitmap), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
     return near.groupBy("_k1").agg(F.min("_line").alias("_line")).join(wanted, "_k1", "left_semi")
 
 
-def _enough(a: str, b: str, threshold: float) -> Column:
-    """Whether the lines in these columns have at least that Jaccard similarity.
+def _enough(a: str, b: str, n: Column, threshold: float) -> Column:
+    """Whether the lines in these columns, of n distinct shingles in all, have at least that Jaccard similarity.
 
-    An array of one binds both lists of shingles: as columns they would be copied into each use and computed again there.
+    The hashes are of 64 bits, by which whole lines are told apart, too.
     """
-    lists = F.array(F.struct(_grams(F.col(a)).alias("x"), _grams(F.col(b)).alias("y")))
-    return F.exists(lists, lambda s: F.size(F.array_intersect(s["x"], s["y"])) >= threshold * F.size(F.array_union(s["x"], s["y"])))
+    return F.size(F.array_intersect(_hashes(F.col(a)), _hashes(F.col(b)))) >= n * (threshold / (1 + threshold)) - 1e-9
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -212,7 +215,7 @@ def _across(parted: DataFrame, texts: DataFrame, threshold: float, marks: DataFr
     meet &= _alike("a", "b") & _near("a", "b", "_shingles", threshold)
     found = left.join(_prefixed(marked, "b"), meet).select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
     wide = written(parted.join(large, "_key", "left_semi").select("_k1", "_c", *_SKETCH).distinct().join(texts, "_k1"), "large")
-    return found if wide.isEmpty() else found.union(_open(_by_rarest(wide, threshold), marks, threshold)).distinct()
+    return found if wide.isEmpty() else found.union(_open(_by_rarest(wide, threshold), marks, threshold).select("a", "b")).distinct()
 
 
 def _by_rarest(lines: DataFrame, threshold: float) -> DataFrame:
@@ -266,15 +269,14 @@ def _ordered(frequency: bytes) -> Column:
     """array<long>: a number for each distinct shingle of _line, ascending; 7 bits of it are its frequency, the others its hash's."""
     held = F.lit(frequency)
     often = lambda h: F.ascii(F.substring(held, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    at = lambda e: F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(e) / 4).cast("int") - SHINGLE))
-    # an array of one binds the coded line, which would be coded again for each shingle
-    hashes = F.transform(F.array(F.encode("_line", "UTF-32")), lambda e: F.transform(at(e), lambda i: F.xxhash64(F.substring(e, 4 * i + 1, F.lit(4 * SHINGLE)))))[0]
-    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(often(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(F.array_distinct(_hashes(F.col("_line"))), lambda h: F.shiftleft(often(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _marks(texts: DataFrame) -> DataFrame:
-    """_k1, _n and _w0 ...: how many shingles a line has, repeats included, and a bit for the hash of each."""
-    bit = _shingle_hashes(texts, "_k1").select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
+    """_k1, _n and _w0 ...: how many distinct shingles a line has, and a bit for the hash of each."""
+    # outer: there is no line without a shingle, and Spark would make each list once more to leave out empty ones
+    each = texts.select("_k1", F.explode_outer(F.array_distinct(_hashes(F.col("_line")))).alias("_h"))
+    bit = each.select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
     marks = _by_column(bit, ["_k1"], F.col("_w"), lambda mine: F.bit_or(F.when(mine, F.col("_bit"))), F.bit_or, "_w", MARKS)
     return marks.select("_k1", "_n", *[F.coalesce(f"_w{j}", F.lit(0).cast("long")).alias(f"_w{j}") for j in range(MARKS)])
 
@@ -290,16 +292,15 @@ def _near(a: str, b: str, n: str, threshold: float) -> Column:
 
 
 def _open(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that may be similar by their marks."""
+    """The pairs (a, b) that may be similar by their marks, with _n, their distinct shingles together."""
     left, right = (_prefixed(marks, k).withColumnRenamed(f"{k}_k1", k) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").where(_near("a", "b", "_n", threshold)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_near("a", "b", "_n", threshold)).select("a", "b", (F.col("a_n") + F.col("b_n")).alias("_n"))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame | None, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar; those that are ruled out by their marks need no look at the texts. No marks: they have been looked at."""
-    pairs = pairs if marks is None else _open(pairs, marks, threshold)
+def _similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar; those that are ruled out by their marks need no look at the texts."""
     left, right = (texts.select(F.col("_k1").alias(k), F.col("_line").alias(f"_{k}")) for k in "ab")
-    return written(pairs.join(left, "a").join(right, "b").where(_enough("_a", "_b", threshold)).select("a", "b"), "similar")
+    return written(_open(pairs, marks, threshold).join(left, "a").join(right, "b").where(_enough("_a", "_b", F.col("_n"), threshold)).select("a", "b"), "similar")
 
 
 def _components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -317,7 +318,7 @@ def _components(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFra
         linked = linked.union(near)
         found = written(connected_components(linked), "components")
         parted = written(_parted(_placed(parted.drop("_c", "_main"), found)), "parted")
-    more = _similar(written(_across(parted, texts, threshold, marks), "across"), texts, None, threshold)
+    more = _similar(written(_across(parted, texts, threshold, marks), "across"), texts, marks, threshold)
     return found if more.isEmpty() else connected_components(linked.union(more))
 
 

@@ -251,6 +251,22 @@ def test_op2_pairs_of_a_bucket_are_made_of_lines_that_may_be_similar(spark):
     assert [(r.a, r.b) for r in lines._stars(stay).collect()] == [(1, 2)]
 
 
+def test_op2_repeated_shingles_leave_no_pair_open(spark):
+    """Marks count distinct shingles, so that lines which share only what they repeat need no look at their texts."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    own = letters(120)
+    texts = ["xy" * 200 + letters(40), "xy" * 200 + letters(40), "xy" * 200 + own, "xy" * 90 + own, "xy" * 90 + own[:110], "日本", "日本"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_k1 long, _line string")
+    marks = lines._marks(rows)
+    assert {r._k1: r._n for r in marks.collect()} == {i: len(shingles(x)) for i, x in enumerate(texts)}
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    left_open = {(r.a, r.b): r._n for r in lines._open(pairs, marks, 0.8).collect()}
+    want = {(2, 3), (2, 4), (3, 4), (5, 6)}
+    assert left_open == {(a, b): len(shingles(texts[a])) + len(shingles(texts[b])) for a, b in want}
+    assert {(r.a, r.b) for r in lines._similar(pairs, rows, marks, 0.8).collect()} == want
+
+
 def test_op2_shuffle_files_go_with_their_query_and_signatures_shuffle_no_hashes(spark):
     def files():
         dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
