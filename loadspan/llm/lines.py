@@ -21,7 +21,6 @@ Lines are told apart by two 64-bit hashes; in the graph by the first of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,45 +48,46 @@ FILTER_BITS = 1 << 23
 MARKS = 32
 _BLANK = " \t\x0b\x0c\r"
 _SKETCH = ["_s0", "_s1", "_s2", "_s3"]
-#: Columns that are aggregated at once.
+#: Columns that are aggregated at once; as many bytes has a word of the sketch.
 WIDTH = 8
+#: Where an empty range borrows, in turn: so many ranges on in its word.
+LENT = (0, 5, 3, 6, 1, 7, 2, 4)
 
 
-def signatures(lines: DataFrame, by: list[str], line: str = "_line") -> DataFrame:
-    """by, _bands array<long> and the sketch for each distinct value of the columns by, which tell lines apart.
+def signatures(lines: DataFrame, by: list[str], line: str = "_line", more: tuple[str, ...] = ()) -> DataFrame:
+    """by, more, _bands array<long> and the sketch for each distinct value of the columns by, which tell lines apart.
+
+    Numbers of a line in the columns more cost less than in by.
 
     Characters are laid out four bytes each, so that a shingle is cut out without counting through the line; shingles
     are rows that are aggregated before the shuffle. A line shorter than a shingle is one shingle.
     """
     bits = 64 - (RANGES.bit_length() - 1)
-    coded = lines.select(*by, F.encode(line, "UTF-32").alias("_e"))
+    coded = lines.select(*by, *more, F.encode(line, "UTF-32").alias("_e"))
     n = F.greatest(F.lit(1), F.expr(f"length(_e) div 4 - {SHINGLE - 1}"))
     # neither null nor a column of its own to explode: Spark would filter by them first, and code each line once more for that
     bar = F.coalesce((F.lit(2.0**bits) * F.least(F.lit(1.0), F.lit(float(KEPT * RANGES)) / n)).cast("long"), F.lit(0).cast("long"))
-    each = coded.select(*by, "_e", bar.alias("_bar"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
-    hashed = each.select(*by, "_bar", F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
-    low = hashed.select(*by, "_bar", F.col("_h").bitwiseAND(F.lit((1 << bits) - 1)).alias("_v"), F.shiftrightunsigned("_h", bits).cast("int").alias("_r")).where("_v < _bar")
-    least = _by_column(low, by, F.col("_r"), lambda mine: F.min(F.when(mine, F.col("_v"))), F.min, "_m", RANGES)
-    least = least.withColumn("_least", F.least(*[F.col(f"_m{j}") for j in range(RANGES)]))
-    # where an empty range borrows, in turn; lines of few shingles borrow the least of all in the end
-    lent = [0, 11, 5, 21, 14, 29, 3, 18]
-    picked = least.select(*by, *[F.coalesce(*[F.col(f"_m{(j + k) % RANGES}") for k in lent], F.col("_least")).alias(f"_p{j}") for j in range(RANGES)])
-    # another byte for each row of a band: lines of few shingles have the same value in many
-    byte = lambda j: F.shiftleft(F.shiftrightunsigned(F.coalesce(F.col(f"_p{j}"), F.lit(0).cast("long")), 8 * (j % ROWS)).bitwiseAND(F.lit(255).cast("long")), 8 * (j % 8))
-    packed = [reduce(Column.bitwiseOR, [byte(j) for j in range(8 * i, 8 * i + 8)]).alias(s) for i, s in enumerate(_SKETCH)]
-    return picked.select(*by, *packed).select(*by, F.array(*[_band(j) for j in range(BANDS)]).alias("_bands"), *_SKETCH)
-
-
-def _by_column(rows: DataFrame, by: list[str], at: Column, of: Callable[[Column], Column], over: Callable[[Column], Column], name: str, n: int) -> DataFrame:
-    """by, _n (rows) and columns name0 ...: of(condition) over the rows of each by whose number at, below n, is the column's.
-
-    Rows are aggregated by WIDTH columns at once, as an aggregate of more costs each row a look at all of them; over puts
-    the parts together. n / WIDTH is a power of two. Rows that were dealt out by some of the columns by are not shuffled.
-    """
-    parts = n // WIDTH
-    some = rows.withColumn("_at", at.cast("int")).groupBy(*by, F.col("_at").bitwiseAND(F.lit(parts - 1)).alias("_part"))
-    some = some.agg(F.count(F.lit(1)).alias("_n"), *[of(F.shiftright("_at", parts.bit_length() - 1) == i).alias(f"_c{i}") for i in range(WIDTH)])
-    return some.groupBy(*by).agg(F.sum("_n").alias("_n"), *[over(F.when(F.col("_part") == j % parts, F.col(f"_c{j // parts}"))).alias(f"{name}{j}") for j in range(n)])
+    each = coded.select(*by, *more, "_e", bar.alias("_bar"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    hashed = each.select(*by, *more, "_bar", "_i", F.xxhash64(F.expr(f"substring(_e, 4 * _i + 1, {4 * SHINGLE})")).alias("_h"))
+    low = hashed.select(*by, *more, "_bar", "_i", F.col("_h").bitwiseAND(F.lit((1 << bits) - 1)).alias("_v"), F.shiftrightunsigned("_h", bits).cast("int").alias("_r"))
+    # the first shingle counts for no range if it is not low, but a line that repeats a few shingles may have no other row
+    low = low.where("_v < _bar or _i = 0").withColumn("_to", F.when(F.expr("_v < _bar"), F.col("_r").bitwiseAND(F.lit(WIDTH - 1))).otherwise(F.lit(WIDTH)))
+    # the ranges of one word of the sketch at once: their bytes are packed before the words of a line are put together
+    some = low.groupBy(*by, F.shiftright("_r", WIDTH.bit_length() - 1).alias("_part"))
+    # neither null: Spark takes the least of such values faster
+    none, held = F.lit((1 << 63) - 1), [F.min(c).alias(c) for c in more]
+    some = some.agg(*held, F.min("_v").alias("_least"), *[F.min(F.when(F.col("_to") == i, F.col("_v")).otherwise(none)).alias(f"_m{i}") for i in range(WIDTH)])
+    picked = [F.coalesce(*[F.nullif(F.col(f"_m{(i + k) % WIDTH}"), none) for k in LENT]) for i in range(WIDTH)]
+    words = some.select(*by, *more, "_part", "_least", _packed(picked).alias("_word"))
+    least = words.groupBy(*by).agg(*held, F.min("_least").alias("_least"), *[F.max(F.when(F.col("_part") == i, F.col("_word"))).alias(s) for i, s in enumerate(_SKETCH)])
+    # a line of few shingles has words without any: they borrow the least of all
+    sketch = [F.coalesce(s, _packed([F.col("_least")] * WIDTH)).alias(s) for s in _SKETCH]
+    return least.select(*by, *more, *sketch).select(*by, *more, F.array(*[_band(j) for j in range(BANDS)]).alias("_bands"), *_SKETCH)
+
+
+def _packed(values: list[Column]) -> Column:
+    """A byte of each of the values in one word: another byte for each row of a band, as lines of few shingles have the same value in many."""
+    return reduce(Column.bitwiseOR, [F.shiftleft(F.shiftrightunsigned(v, 8 * (i % ROWS)).bitwiseAND(F.lit(255).cast("long")), 8 * i) for i, v in enumerate(values)])
 
 
 def _band(j: int, prefix: str = "") -> Column:
@@ -124,14 +124,14 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(_k1 and the sketch) for each distinct line.
+    """(_k1, _k2, _at and the sketch) for each distinct line; _at (_key, _doc, _pos) is its first place.
 
     Rows of docs are dealt out before they are split: a line's shingles are aggregated within its task, so that what is
-    shuffled is the texts once and 40 bytes a line, not the least hashes of all ranges. Equal lines have equal sketches.
+    shuffled is the texts once and some 70 bytes a line, not the least hashes of all ranges. Equal lines have equal sketches.
     """
-    dealt = docs.select(F.lit(0).alias("_key"), "_text", F.monotonically_increasing_id().alias("_row")).repartition("_row")
-    signed = signatures(_lines(dealt, "_row"), ["_row", "_k1"])
-    return signed.groupBy("_k1").agg(*[F.min(s).alias(s) for s in _SKETCH])
+    dealt = docs.select("_key", "_text", F.monotonically_increasing_id().alias("_row")).repartition("_row")
+    signed = signatures(_lines(dealt, "_row"), ["_row", "_pos", "_key"], more=("_doc", "_k1", "_k2"))
+    return signed.groupBy("_k1", "_k2").agg(F.min(F.struct("_key", "_doc", "_pos")).alias("_at"), *[F.min(s).alias(s) for s in _SKETCH])
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -276,9 +276,13 @@ def _marks(texts: DataFrame) -> DataFrame:
     """_k1, _n and _w0 ...: how many distinct shingles a line has, and a bit for the hash of each."""
     # outer: there is no line without a shingle, and Spark would make each list once more to leave out empty ones
     each = texts.select("_k1", F.explode_outer(F.array_distinct(_hashes(F.col("_line")))).alias("_h"))
-    bit = each.select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.pmod(F.shiftright("_h", 6), F.lit(MARKS)).alias("_w"))
-    marks = _by_column(bit, ["_k1"], F.col("_w"), lambda mine: F.bit_or(F.when(mine, F.col("_bit"))), F.bit_or, "_w", MARKS)
-    return marks.select("_k1", "_n", *[F.coalesce(f"_w{j}", F.lit(0).cast("long")).alias(f"_w{j}") for j in range(MARKS)])
+    bit = each.select("_k1", F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"), F.expr(f"cast(shiftrightunsigned(_h, 6) & {MARKS - 1} as int)").alias("_w"))
+    # some words at once, and never null: an aggregate of more columns costs each row a look at all of them
+    none, parts = F.lit(0).cast("long"), MARKS // WIDTH
+    some = bit.groupBy("_k1", F.col("_w").bitwiseAND(F.lit(parts - 1)).alias("_part"))
+    some = some.agg(F.count(F.lit(1)).alias("_n"), *[F.bit_or(F.when(F.shiftright("_w", parts.bit_length() - 1) == i, F.col("_bit")).otherwise(none)).alias(f"_c{i}") for i in range(WIDTH)])
+    words = [F.bit_or(F.when(F.col("_part") == j % parts, F.col(f"_c{j // parts}")).otherwise(none)).alias(f"_w{j}") for j in range(MARKS)]
+    return some.groupBy("_k1").agg(F.sum("_n").alias("_n"), *words)
 
 
 def _near(a: str, b: str, n: str, threshold: float) -> Column:
@@ -327,6 +331,13 @@ def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, F.col("_k1") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_k1")).drop("node", "component")
 
 
+def _lost(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """(_k1, _k2) of the lines that are not the first of their component."""
+    of = signed.select("_k1", "_k2", "_at").join(found, F.col("_k1") == F.col("node"))
+    first = of.groupBy("component").agg(F.min("_at").alias("_first"))
+    return of.join(first, "component").where("_at <> _first").select("_k1", "_k2")
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with text less its repeated lines, n_lines and n_kept (long): lines that are not blank, before and after.
 
@@ -339,10 +350,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     docs = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     signed = written(_signed(docs), "signatures")
     found = written(_components(docs, signed, threshold), "components")
-    places = _lines(docs).groupBy("_k1", "_k2").agg(F.min(F.struct("_key", "_doc", "_pos")).alias("_at"))
-    of = places.join(found, F.col("_k1") == F.col("node"), "left")
-    group = [F.coalesce("component", "_k1").alias("_c"), F.when(F.col("component").isNull(), F.col("_k2")).alias("_k2")]
-    first = of.groupBy(*group).agg(F.min("_at").alias("_at")).select("_at.*")
+    lost = written(_lost(signed, found), "lost")
+    first = signed.join(lost, ["_k1", "_k2"], "left_anti").select("_at.*")
     kept = first.groupBy("_key", "_doc").agg(F.sort_array(F.collect_list("_pos")).alias("_kept"))
     kept = kept.withColumnRenamed("_key", "_k")
     rows = df.withColumn("_doc_", F.xxhash64(F.col(text).cast("string")))

@@ -286,6 +286,38 @@ def test_op2_shuffle_files_go_with_their_query_and_signatures_shuffle_no_hashes(
     assert table.count() == 47
 
 
+def test_op2_first_places_come_with_the_signatures(spark, monkeypatch):
+    """Documents are split for signatures and candidates' texts only; keys that are null, repeat or are texts keep their order."""
+    plans, write = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
+    long = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil a large pot of soup by the river"
+    docs = [("b", f"x\n\nsame line\n{long}"), ("a", f"same line\nother\nsame line\n{long.replace('soup', 'stew')}"), ("c", "x\nother"), ("c", "other\nlast"), (None, "last\n x ")]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    signed = lines._signed(df.selectExpr("doc_id as _key", "text as _text"))
+    doc = {t: xxhash.xxh64_intdigest(t.encode(), 42) for _, t in docs}
+    want = {}
+    for k, t in docs:
+        for pos, raw in enumerate(t.split("\n")):
+            if line := raw.strip():
+                at = (k is not None, k or "", doc[t] - 2**64 * (doc[t] >> 63), pos)
+                want[line] = min(want.get(line, at), at)
+    got = [(r._at._key is not None, r._at._key or "", r._at._doc, r._at._pos) for r in signed.collect()]
+    assert sorted(got) == sorted(want.values()) and len(got) == 6
+    out = lines.deduplicated(df)
+    assert sum("posexplode" in p for p in plans.values()) == 2 and "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    assert kept == {("b", "\n"), ("a", docs[1][1].replace("\nsame line\n", "\n")), ("c", ""), (None, "last\n x ")}
+
+
+def test_op2_lines_that_repeat_few_shingles_have_a_sketch(spark):
+    """A line of one shingle a thousand times over may have none below the bar; it stays, and meets its like."""
+    marks = [chr(0x2500 + i) for i in range(12)]
+    df = spark.createDataFrame([(i, m * n) for i, m in enumerate(marks) for n in (700, 1500)], "doc_id long, text string")
+    signed = lines._signed(df.selectExpr("doc_id as _key", "text as _text"))
+    assert signed.count() == 24 and signed.select(*lines._SKETCH).distinct().count() == 12
+    assert sum(r.n_kept for r in lines.deduplicated(df).collect()) == 12
+
+
 def test_op10_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(0)
